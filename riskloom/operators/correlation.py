@@ -21,6 +21,13 @@ from riskloom.session import cut_lineage
 PAIRS_PER_PASS = 1000
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson r over the rows where both are known; 0 when either does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+
+
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
@@ -34,12 +41,11 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[s
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
-        d = lambda c: F.col(c).cast("double")
-        one = df.agg(*[F.corr(d(a), d(b)).alias(str(i)) for i, (a, b) in enumerate(part)])
+        one = df.agg(*[pearson(a, b).alias(str(i)) for i, (a, b) in enumerate(part)])
         rows = F.array(
             *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(part)]
         )
-        long = one.select(F.explode(rows).alias("p")).select("p.left", "p.right", F.coalesce(F.nanvl("p.r", F.lit(0.0)), F.lit(0.0)).alias("r"))
+        long = one.select(F.explode(rows).alias("p")).select("p.left", "p.right", "p.r")
         out = long if out is None else out.unionByName(long)
     return out
 
@@ -50,7 +56,9 @@ def with_ranks(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | N
     The rank table has one row per distinct value; it is broadcast only when it
     is small and otherwise joined with a salt.
     """
-    ranks = value_ranks(value_counts(df, columns, kind="double"), F.col("n"), rows_per_block=rows_per_block)
+    ranks = value_ranks(
+        value_counts(df, columns, kind="double"), F.col("n"), at_most=df.count() * len(columns), rows_per_block=rows_per_block
+    )
     out = df
     for c in columns:
         mapping = ranks.filter(F.col("feature") == c).select(F.col("value").alias(f"__{c}"), F.col("rank").alias(f"__rank_{c}"))
@@ -121,7 +129,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str, *, ro
     base = wide_aggregate(
         df, columns,
         {
-            "pearson": lambda c: F.corr(F.col(c).cast("double"), F.col(target).cast("double")),
+            "pearson": lambda c: pearson(c, target),
             "m0": lambda c: F.avg(one(c, 0)), "m1": lambda c: F.avg(one(c, 1)),
             "s0": lambda c: F.stddev_pop(one(c, 0)), "s1": lambda c: F.stddev_pop(one(c, 1)),
         },
@@ -129,7 +137,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str, *, ro
     ranks = rank_tests(df, columns, target, rows_per_block=rows_per_block).select("feature", "spearman")
     zero = F.lit(0.0)
     return base.join(ranks, "feature").select(
-        "feature", F.coalesce(F.nanvl("pearson", zero), zero).alias("pearson"), "spearman",
+        "feature", "pearson", "spearman",
         F.coalesce(F.try_divide(F.abs(F.col("m0") - F.col("m1")), F.col("s0") + F.col("s1")), zero).alias("separation"),
     )
 
@@ -231,8 +239,7 @@ def target_leakage(corr: DataFrame) -> DataFrame:
 
 def time_correlation(df: DataFrame, columns: Sequence[str], dt: str) -> DataFrame:
     """Correlation of each column with time: a sign of information from the future."""
-    out = wide_aggregate(df, columns, {"r": lambda c: F.corr(F.col(c).cast("double"), F.col(dt).cast("double"))})
-    return out.select("feature", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("time_correlation"))
+    return wide_aggregate(df, columns, {"time_correlation": lambda c: pearson(c, dt)})
 
 
 def leakage_risk(

@@ -32,7 +32,8 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), *, rows_per_block: int
     keys = list(keys)
     counts = df.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("__down", -F.col("p"))
     running = prefix_sums(
-        counts, keys, ["__down"], {"tp": F.col("pos"), "fp": F.col("neg")}, rows_per_block=rows_per_block, materialize=True
+        counts, keys, ["__down"], {"tp": F.col("pos"), "fp": F.col("neg")},
+        rows_per_block=rows_per_block, materialize=True, at_most=df.count(),
     ).drop("__down")
     totals = df.groupBy(*keys).agg(F.sum("y").alias("all_pos"), F.sum(1 - F.col("y")).alias("all_neg"))
     # One row per scorer.
@@ -136,7 +137,7 @@ def lift_gain(df: DataFrame, ties: Sequence[str], deciles: int = 10, *, rows_per
     cells = ranked.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
     totals = cells.agg(F.sum("n").alias("all_n"), F.sum("positives").alias("all_p"))
     # Ten rows.
-    running = prefix_sums(cells, [], ["decile"], {"cum": F.col("positives")})
+    running = prefix_sums(cells, [], ["decile"], {"cum": F.col("positives")}, at_most=deciles)
     return running.crossJoin(F.broadcast(totals)).select(
         "decile", "n", "positives", safe_divide("cum", "all_p").alias("cumulative_gain"),
         safe_divide(safe_divide("positives", "n"), safe_divide("all_p", "all_n")).alias("lift"),

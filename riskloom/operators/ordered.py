@@ -103,15 +103,21 @@ def prefix_sums(
     inclusive: bool = True,
     rows_per_block: int | None = None,
     materialize: bool = False,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add running sums along ``order`` within ``keys`` (all rows when empty).
 
     ``keys`` must not hold nulls and ``order`` must be numeric and give a total
     order.  ``materialize`` writes ``df`` to the checkpoint folder first; use
     it when ``df`` is the result of a shuffle and will be scanned repeatedly.
+    ``at_most`` is an upper bound of the row count where the caller has one: a
+    small bound saves the counting job.
     """
     rows = rows_per_block or ROWS_PER_BLOCK
-    n = df.count()
+    small = at_most is not None and at_most <= rows
+    if materialize and not small:
+        df = cut_lineage(df)
+    n = at_most if small else df.count()
     end = Window.currentRow if inclusive else -1
     if n <= rows:
         spec = (
@@ -122,8 +128,6 @@ def prefix_sums(
         return df.withColumns(
             {name: F.coalesce(F.sum(e).over(spec), F.lit(0)) for name, e in sums.items()}
         )
-    if materialize:
-        df = cut_lineage(df)
     groups = [*keys, _B1, _B2]
     staged = _with_blocks(df, keys, order, rows, n).withColumns(
         {f"__x_{name}": e for name, e in sums.items()}
