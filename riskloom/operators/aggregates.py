@@ -61,6 +61,20 @@ def long_values(
     return df.select(*keep, F.explode(rows).alias("__r")).select("*", "__r.feature", "__r.value").drop("__r")
 
 
+def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:
+    """Columns with at most ``limit`` distinct values.
+
+    A sketch rules out the columns that clearly have more; only the others are
+    counted exactly.
+    """
+    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    close = [c for c in columns if rough[c] <= 2 * limit + 50]
+    if not close:
+        return set()
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in close]).first()
+    return {c for c in close if exact[c] <= limit}
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "string") -> DataFrame:
     """``(feature, value, n)`` of all non-null values."""
     return (

@@ -11,21 +11,16 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import numeric_columns
-from riskloom.operators.aggregates import value_counts, wide_aggregate
-from riskloom.operators.joins import lookup_join
+from riskloom.operators.aggregates import long_values, value_counts, wide_aggregate
+from riskloom.operators.joins import BROADCAST_ROWS, lookup_join
 from riskloom.operators.ordered import prefix_sums, with_ordinal
 from riskloom.operators.quality import missing_report
 from riskloom.operators.stats import rank_tests, value_ranks
 from riskloom.session import cut_lineage
 
-PAIRS_PER_PASS = 1000
-
-
-def pearson(a: str, b: str) -> Column:
-    """Pearson r over the rows where both are known; 0 when either does not vary."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+def _r(x: str, y: str) -> Column:
+    """Pearson r of two complete columns; 0 when either does not vary."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -35,19 +30,18 @@ def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pearson r of all column pairs over rows where both are known.
 
-    One aggregate holds all pairs; wide frames are cut into passes.
+    Each row is expanded to its pairs inside the scan stage and reduced there to
+    one buffer per pair, so only pairs are shuffled and the generated code does
+    not grow with the number of columns.
     """
     pairs = list(pairs or _pairs(columns))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        one = df.agg(*[pearson(a, b).alias(str(i)) for i, (a, b) in enumerate(part)])
-        rows = F.array(
-            *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(part)]
-        )
-        long = one.select(F.explode(rows).alias("p")).select("p.left", "p.right", "p.r")
-        out = long if out is None else out.unionByName(long)
-    return out
+    d = lambda c: F.col(c).cast("double")
+    # Both sides are null together, so every statistic sees the same rows.
+    both = lambda a, b, v: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), d(v))
+    rows = F.array(
+        *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), both(a, b, a).alias("x"), both(a, b, b).alias("y")) for a, b in pairs]
+    )
+    return df.select(F.explode(rows).alias("p")).select("p.*").groupBy("left", "right").agg(_r("x", "y").alias("r"))
 
 
 def with_ranks(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | None = None) -> DataFrame:
@@ -56,14 +50,15 @@ def with_ranks(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | N
     The rank table has one row per distinct value; it is broadcast only when it
     is small and otherwise joined with a salt.
     """
-    ranks = value_ranks(
-        value_counts(df, columns, kind="double"), F.col("n"), at_most=df.count() * len(columns), rows_per_block=rows_per_block
-    )
+    n = df.count()
+    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first() if n > BROADCAST_ROWS else {c: n for c in columns}
     out = df
     for c in columns:
-        mapping = ranks.filter(F.col("feature") == c).select(F.col("value").alias(f"__{c}"), F.col("rank").alias(f"__rank_{c}"))
+        counts = value_counts(df, [c], kind="double")
+        ranks = value_ranks(counts, F.col("n"), at_most=n, rows_per_block=rows_per_block)
+        mapping = ranks.select(F.col("value").alias(f"__{c}"), F.col("rank").alias(f"__rank_{c}"))
         staged = out.withColumn(f"__{c}", F.col(c).cast("double"))
-        out = lookup_join(staged, mapping, [f"__{c}"]).withColumn(c, F.col(f"__rank_{c}")).drop(f"__{c}", f"__rank_{c}")
+        out = lookup_join(staged, mapping, [f"__{c}"], rows=distinct[c]).withColumn(c, F.col(f"__rank_{c}")).drop(f"__{c}", f"__rank_{c}")
     return out
 
 
@@ -125,14 +120,11 @@ def _kendall(df: DataFrame, x: str, y: str, rows_per_block: int | None) -> DataF
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str, *, rows_per_block: int | None = None) -> DataFrame:
     """Pearson (the same as point-biserial), Spearman and class separation per column."""
-    one = lambda c, k: F.when(F.col(target) == k, F.col(c).cast("double"))
-    base = wide_aggregate(
-        df, columns,
-        {
-            "pearson": lambda c: pearson(c, target),
-            "m0": lambda c: F.avg(one(c, 0)), "m1": lambda c: F.avg(one(c, 1)),
-            "s0": lambda c: F.stddev_pop(one(c, 0)), "s1": lambda c: F.stddev_pop(one(c, 1)),
-        },
+    one = lambda k: F.when(F.col("__y") == k, F.col("value"))
+    long = long_values(df, columns, keep=[F.col(target).cast("double").alias("__y")], kind="double")
+    base = long.filter("value IS NOT NULL AND __y IS NOT NULL").groupBy("feature").agg(
+        _r("value", "__y").alias("pearson"), F.avg(one(0)).alias("m0"), F.avg(one(1)).alias("m1"),
+        F.stddev_pop(one(0)).alias("s0"), F.stddev_pop(one(1)).alias("s1"),
     )
     ranks = rank_tests(df, columns, target, rows_per_block=rows_per_block).select("feature", "spearman")
     zero = F.lit(0.0)
@@ -239,7 +231,8 @@ def target_leakage(corr: DataFrame) -> DataFrame:
 
 def time_correlation(df: DataFrame, columns: Sequence[str], dt: str) -> DataFrame:
     """Correlation of each column with time: a sign of information from the future."""
-    return wide_aggregate(df, columns, {"time_correlation": lambda c: pearson(c, dt)})
+    long = long_values(df, columns, keep=[F.col(dt).cast("double").alias("__t")], kind="double")
+    return long.filter("value IS NOT NULL AND __t IS NOT NULL").groupBy("feature").agg(_r("value", "__t").alias("time_correlation"))
 
 
 def leakage_risk(

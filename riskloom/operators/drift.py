@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
-from riskloom.functions.binning import bin_index, unique_edges
+from riskloom.functions.binning import unique_edges
 from riskloom.functions.scalars import numeric_columns
 from riskloom.functions.tails import ks_sf
-from riskloom.operators.aggregates import wide_aggregate
+from riskloom.operators.aggregates import few_valued, wide_aggregate
+from riskloom.operators.bins import Edges, add_bins
 from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quantiles import exact_quantiles
 
@@ -97,28 +98,24 @@ def numeric_psi(
     """
     columns = list(columns)
     edges = _edges(train, columns, bins)
-    as_category: set[str] = set()
-    if rule.categorical_up_to:
-        seen = train.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-        as_category = {c for c in columns if seen[c] <= rule.categorical_up_to}
+    as_category = few_valued(train, columns, rule.categorical_up_to) if rule.categorical_up_to else set()
+
+    specs = {}
+    for c in columns:
+        e = edges[c]
+        if c not in as_category and len(e) >= 2:
+            specs[c] = Edges([-math.inf, *e[1:-1], math.inf] if rule.open_ends else e, rule.closed)
+    binned = add_bins(two_sided(train, test, columns), specs)
 
     def cell(c: str) -> Column:
         if c in as_category:
             return F.col(c).cast("string")
-        e = edges[c]
-        if len(e) < 2:
-            return F.lit("0")
-        used = [-math.inf, *e[1:-1], math.inf] if rule.open_ends else e
-        index = bin_index(c, used, closed=rule.closed, include_ends=rule.closed == "left" and not rule.open_ends)
-        return F.coalesce(index.cast("string"), F.lit("out"))
-
-    def rows(c: str) -> Column:
-        return F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), cell(c)).alias("cell"))
-
-    long = (
-        two_sided(train, test, columns).select("side", F.explode(F.array(*[rows(c) for c in columns])).alias("r"))
-        .select("side", "r.*").filter("cell IS NOT NULL")
-    )
+        if c not in specs:
+            return F.when(F.col(c).isNotNull(), F.lit("0"))
+        return F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"__bin_{c}").cast("string"), F.lit("out")))
+
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("cell")) for c in columns])
+    long = binned.select("side", F.explode(rows).alias("r")).select("side", "r.*").filter("cell IS NOT NULL")
     counts = side_counts(long, ["feature", "cell"])
     totals = counts.groupBy("feature").agg(F.sum("n_train").alias("t_train"), F.sum("n_test").alias("t_test"))
     grid = [(c, str(i)) for c in columns if c not in as_category for i in range(max(1, len(edges[c]) - 1))]

@@ -36,8 +36,7 @@ def _pair_rows(labels: Mapping[str, str | Column], pairs: Sequence[tuple[str, st
 
 
 def _binned(df: DataFrame, columns: Sequence[str], keep: Sequence[Column]) -> DataFrame:
-    labels = bin_columns(df, columns)
-    return df.select(*keep, *[labels[c].alias(f"__b_{c}") for c in columns])
+    return bin_columns(df, columns).select(*keep, *[f"__b_{c}" for c in columns])
 
 
 def _names(columns: Sequence[str]) -> dict[str, str]:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 16
+HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 100_000
+SALTS = 64
 
 
 def lookup_join(
@@ -17,21 +19,35 @@ def lookup_join(
     mapping: DataFrame,
     on: Sequence[str],
     *,
+    rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
-    The mapping is broadcast only after its row count was checked.  A larger
-    mapping is joined by shuffle with a salt, so one hot key on the left is
-    spread over ``salts`` tasks.
+    The mapping is broadcast only after its row count was checked; ``rows`` is
+    the count (or an upper bound) where the caller knows it.  A larger mapping
+    is joined by shuffle.  Keys with more than ``hot_rows`` rows on the left are
+    salted: their rows are spread over ``salts`` tasks and only their mapping
+    rows are repeated.
     """
     on = list(on)
-    if mapping.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if rows is None or rows > broadcast_rows:
+        rows = mapping.limit(broadcast_rows + 1).count()
+    if rows <= broadcast_rows:
         return left.join(F.broadcast(mapping), on, "left")
+    n = left.count()
+    if n <= hot_rows:
+        return left.join(mapping, on, "left")
+    # At most n / limit <= MAX_HOT_KEYS keys can be hot.
+    limit = max(hot_rows, n // MAX_HOT_KEYS)
+    hot = left.groupBy(*on).count().filter(F.col("count") > limit).select(*on, F.lit(True).alias("__hot"))
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    spread = mapping.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", salt).join(spread, [*on, "__salt"], "left").drop("__salt")
+    marked = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = mapping.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return marked.join(spread, [*on, "__salt"], "left").drop("__salt")
 
 
 def merge_identity(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import numeric_columns, string_columns
-from riskloom.operators.aggregates import value_counts, wide_aggregate
+from riskloom.operators.aggregates import long_values, value_counts, wide_aggregate
 from riskloom.operators.quality import dominance_report, missing_report
 from riskloom.operators.quantiles import exact_quantiles
 
@@ -106,20 +106,10 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     q = driver_rows(
         df, [(c, *quartiles[c]) for c in columns], "feature string, q1 double, median double, q3 double"
     )
-    d = lambda c: F.col(c).cast("double")
-    moments = wide_aggregate(
-        df,
-        columns,
-        {
-            "n": lambda c: F.count(F.col(c)),
-            "mean": lambda c: F.avg(d(c)),
-            "low": lambda c: F.min(d(c)),
-            "high": lambda c: F.max(d(c)),
-            "variance": lambda c: F.var_samp(d(c)),
-            "std": lambda c: F.stddev_samp(d(c)),
-            "skew_pop": lambda c: F.skewness(d(c)),
-            "kurt_pop": lambda c: F.kurtosis(d(c)),
-        },
+    v = F.col("value")
+    moments = long_values(df, columns, kind="double").groupBy("feature").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("skew_pop"), F.kurtosis(v).alias("kurt_pop"),
     )
     modes = (
         value_counts(df, columns, kind="double")

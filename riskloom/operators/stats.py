@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
-from riskloom.functions.binning import quartile_label, unique_edges
+from riskloom.functions.binning import unique_edges
 from riskloom.functions.tails import chi2_sf, f_sf, normal_sf
-from riskloom.operators.aggregates import long_values, wide_aggregate
+from riskloom.operators.aggregates import few_valued, long_values
+from riskloom.operators.bins import Edges, add_bins
 from riskloom.operators.drift import sided_value_counts
 from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quantiles import exact_quantiles
@@ -68,10 +69,9 @@ def mann_whitney_p(tests: DataFrame) -> DataFrame:
 
 def effect_sizes(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Cohen's d (pooled sample variance) and Cliff's delta with its magnitude."""
-    one = lambda c, k: F.when(F.col(target) == k, F.col(c).cast("double"))
-    m = wide_aggregate(
-        df, columns,
-        {f"{s}{k}": (lambda c, f=f, k=k: f(one(c, k))) for k in (0, 1) for s, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))},
+    one = lambda k: F.when(F.col("__y") == k, F.col("value"))
+    m = long_values(df, columns, keep=[F.col(target).alias("__y")], kind="double").groupBy("feature").agg(
+        *[f(one(k)).alias(f"{s}{k}") for k in (0, 1) for s, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
     )
     pooled = F.sqrt(
         F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), (F.col("n0") + F.col("n1") - 2).cast("double"))
@@ -168,18 +168,17 @@ def anova_p(tests: DataFrame) -> DataFrame:
 # --- mutual information on bins -----------------------------------------------------------
 
 
-def bin_columns(df: DataFrame, columns: Sequence[str], bins: int = 4) -> dict[str, Column]:
-    """Quantile-bin labels; a column with at most ``bins`` values keeps its values."""
-    seen = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-    many = [c for c in columns if seen[c] > bins]
+def bin_columns(df: DataFrame, columns: Sequence[str], bins: int = 4) -> DataFrame:
+    """Add ``__b_<column>`` with quantile-bin labels; a column with at most ``bins`` values keeps its values."""
+    few = few_valued(df, columns, bins)
+    many = [c for c in columns if c not in few]
     q = exact_quantiles(df, many, [i / bins for i in range(bins + 1)]) if many else {}
-    out = {}
+    binned = add_bins(df, {c: Edges(unique_edges(q[c])) for c in many})
+    labels = {}
     for c in columns:
-        if c in many:
-            out[c] = quartile_label(c, unique_edges(q[c]))
-        else:
-            out[c] = F.coalesce(F.col(c).cast("double").cast("string"), F.lit("Missing"))
-    return out
+        known = F.concat(F.lit("Q"), F.col(f"__bin_{c}") + 1) if c in many else F.col(c).cast("double").cast("string")
+        labels[f"__b_{c}"] = F.coalesce(known, F.lit("Missing"))
+    return binned.withColumns(labels).drop(*[f"__bin_{c}" for c in many])
 
 
 def _plug_in_mi(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -197,10 +196,9 @@ def _plug_in_mi(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information between binned columns and the label, on the full data."""
-    labels = bin_columns(df, columns, bins)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), labels[c].alias("cell")) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__b_{c}").alias("cell")) for c in columns])
     cells = (
-        df.select(F.col(target).alias("y"), F.explode(rows).alias("r")).select("y", "r.*")
+        bin_columns(df.select(target, *columns), columns, bins).select(F.col(target).alias("y"), F.explode(rows).alias("r")).select("y", "r.*")
         .groupBy("feature", "cell", "y").agg(F.count(F.lit(1)).alias("n"))
     )
     return _plug_in_mi(cells, ["feature"])

@@ -22,13 +22,14 @@ COLUMNS = features.Columns("id", "dt", "amt", "y", ["key"], ["product"])
 @query(
     "basic_feature_stage",
     f"""WITH m AS (SELECT product, count(*) / (SELECT count(*) FROM {TRAIN_SQL})::DOUBLE AS f FROM {TRAIN_SQL} GROUP BY 1)
-        SELECT t.id, split, round((dt % 86400) / 3600.0, 6) AS hour_of_day, round(ln(1 + amt), 6) AS log_amt, round(amt / CASE WHEN key = 0 THEN 1 ELSE key END, 9) AS amt_ratio_key,
+        SELECT t.id, split, round((dt % 86400) / 3600.0, 6) AS hour_of_day, round(ln(1 + amt), 6) AS log_amt, round(amt / CASE WHEN key % 7 = 0 THEN 1 ELSE key % 7 END, 6) AS amt_ratio_c1,
         round(coalesce(f, 0), 6) AS product_freq FROM (SELECT *, 'train' AS split FROM {TRAIN_SQL} UNION ALL SELECT *, 'test' FROM {TEST_SQL}) t LEFT JOIN m USING (product)""",
 )
 def basic_feature_stage(spark, d):
-    a, b = features.basic_features(txn(spark, d, "train"), txn(spark, d, "test"), COLUMNS, "key")
-    out = stack({"train": a, "test": b}, "split").select("id", "split", "hour_of_day", "log_amt", "amt_ratio_key", "product_freq")
-    return _round(out, amt_ratio_key=9)
+    train, test = (txn(spark, d, part).withColumn("c1", F.col("key") % 7) for part in ("train", "test"))
+    a, b = features.basic_features(train, test, COLUMNS, "c1")
+    out = stack({"train": a, "test": b}, "split").select("id", "split", "hour_of_day", "log_amt", "amt_ratio_c1", "product_freq")
+    return _round(out)
 
 
 @query(
