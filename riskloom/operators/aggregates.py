@@ -11,6 +11,7 @@ from riskloom.functions.scalars import col
 from riskloom.operators.joins import lookup_join
 from riskloom.operators.ordered import ROWS_PER_BLOCK
 from riskloom.operators.quantiles import grouped_quantiles
+from riskloom.operators.rows import with_row
 
 ENTITY_STATS = ["mean", "median", "std", "min", "max", "count"]
 COLUMNS_PER_PASS = 200
@@ -18,7 +19,7 @@ COLUMNS_PER_PASS = 200
 
 def with_total(counts: DataFrame, value: str, out: str = "total") -> DataFrame:
     """Add the sum of ``value`` over all rows: a one-row side, not a global window."""
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum(value).alias(out))))
+    return counts.transform(with_row, counts.agg(F.sum(value).alias(out)))
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -119,7 +120,7 @@ def attach_entity_stats(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     out = lookup_join(df, stats, [key])
     if averaged:
         defaults = stats.agg(*[F.avg(c).alias(f"__d_{c}") for c in averaged])
-        out = out.crossJoin(F.broadcast(defaults))
+        out = out.transform(with_row, defaults)
     filled = {}
     for c in names:
         fallback = F.col(f"__d_{c}") if c in averaged else F.lit(0)

@@ -15,6 +15,7 @@ from riskloom.operators.aggregates import long_values, value_counts, wide_aggreg
 from riskloom.operators.joins import BROADCAST_ROWS, lookup_join
 from riskloom.operators.ordered import prefix_sums, with_ordinal
 from riskloom.operators.quality import missing_report
+from riskloom.operators.rows import with_row
 from riskloom.operators.stats import rank_tests, value_ranks
 from riskloom.session import cut_lineage
 
@@ -113,7 +114,7 @@ def _kendall(df: DataFrame, x: str, y: str, rows_per_block: int | None) -> DataF
     pair_sums = running.agg(F.sum(d("hi") * d("lo_before")).alias("c"), F.sum(d("lo") * d("hi_before")).alias("dc"))
     tied = lambda key: cells.groupBy(key).agg(F.sum("n").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{key}"))
     total = cells.agg(F.sum("n").cast("double").alias("m")).select((F.col("m") * (F.col("m") - 1) / 2).alias("all"))
-    one = pair_sums.crossJoin(tied("x")).crossJoin(tied("y")).crossJoin(total)
+    one = pair_sums.transform(with_row, tied("x")).transform(with_row, tied("y")).transform(with_row, total)
     tau = F.try_divide(F.col("c") - F.col("dc"), F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty"))))
     return one.select(F.lit(x).alias("left"), F.lit(y).alias("right"), F.coalesce(tau, F.lit(0.0)).alias("tau"))
 
@@ -246,7 +247,7 @@ def leakage_risk(
     staged = (
         every.join(leaks.select("feature", "leakage_probability"), "feature", "left")
         .join(overlap.select("feature", (F.col("overlap_pct") / 100.0).alias("overlap")), "feature", "left")
-        .crossJoin(F.broadcast(dup)).fillna(0.0, ["leakage_probability", "overlap"])
+        .transform(with_row, dup).fillna(0.0, ["leakage_probability", "overlap"])
     )
     is_text = F.col("feature").isin(list(texts))
     last: Column = F.when(is_text, F.col("overlap")).otherwise(F.col("overlap_fraction"))

@@ -21,6 +21,7 @@ from riskloom.operators.aggregates import few_valued, wide_aggregate
 from riskloom.operators.bins import Edges, add_bins
 from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 EPS = 1e-4
 
@@ -264,13 +265,13 @@ def concept_drift(reference: DataFrame, current: DataFrame, target: str, limit:
     a = reference.agg(F.avg(target).alias("reference_rate"))
     b = current.agg(F.avg(target).alias("current_rate"))
     gap = F.abs(F.col("reference_rate") - F.col("current_rate"))
-    return a.crossJoin(b).withColumns({"rate_change": gap, "is_drifted": gap > limit})
+    return a.transform(with_row, b).withColumns({"rate_change": gap, "is_drifted": gap > limit})
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, p: str, limit: float = 0.1) -> DataFrame:
     psi = numeric_psi(reference, current, [p], MONITOR).select("psi")
-    means = reference.agg(F.avg(p).alias("reference_mean")).crossJoin(current.agg(F.avg(p).alias("current_mean")))
-    return psi.crossJoin(means).withColumn("is_drifted", F.col("psi") >= limit)
+    means = reference.agg(F.avg(p).alias("reference_mean")).transform(with_row, current.agg(F.avg(p).alias("current_mean")))
+    return psi.transform(with_row, means).withColumn("is_drifted", F.col("psi") >= limit)
 
 
 def alerts(data_drift: DataFrame, health: DataFrame | None = None) -> DataFrame:

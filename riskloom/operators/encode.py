@@ -7,6 +7,7 @@ the train frame only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import col
 from riskloom.operators.joins import lookup_join
-from riskloom.operators.ordered import with_ordinal
+from riskloom.operators.ordered import ROWS_PER_BLOCK, prefix_sums, with_ordinal
+from riskloom.operators.rows import with_row
+from riskloom.session import cut_lineage
 
 NULL_NAME = "nan"
 
@@ -30,25 +33,31 @@ def _apply(df: DataFrame, column: str, mapping: DataFrame, defaults: dict[str, C
     return out.withColumns(filled).drop("value")
 
 
-def fit_label(df: DataFrame, column: str) -> DataFrame:
+def fit_label(df: DataFrame, column: str, *, rows_per_block: int | None = None) -> DataFrame:
     """Codes 0..k-1 in sorted order of the known values."""
     values = df.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-    # The order is over distinct values; numbering goes through the block-wise
-    # ordinal, so a high-cardinality column does not end in one task.
-    ranked = _string_ordinal(values, "value", "code")
+    ranked = _string_ordinal(values, "value", "code", rows_per_block or ROWS_PER_BLOCK)
     return ranked.select("value", F.col("code").cast("int").alias(f"{column}_label"))
 
 
-def _string_ordinal(values: DataFrame, column: str, out: str) -> DataFrame:
-    """Zero-based rank of distinct strings, one prefix of the text per block."""
-    prefixed = values.withColumn("__p", F.substring(F.col(column), 1, 3))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+def _string_ordinal(values: DataFrame, column: str, out: str, limit: int) -> DataFrame:
+    """Zero-based rank of distinct strings.
+
+    Many values are range-partitioned first and kept in the checkpoint folder;
+    a rank is then the position within a range plus the sizes of the ranges
+    before it.
+    """
+    n = values.count()
+    if n <= limit:
+        return values.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
+    ranged = cut_lineage(values.repartitionByRange(2 * math.ceil(n / limit), column)).withColumn("__b", F.spark_partition_id())
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        prefixed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+        ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+        .select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     )
-    inner = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
-    return prefixed.withColumn("__i", inner).join(offsets, "__p").withColumn(out, F.col("__i") + F.col("__o")).drop("__i", "__o", "__p")
+    inner = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
+    return ranged.withColumn("__i", inner).join(offsets, "__b").select(column, (F.col("__i") + F.col("__o")).alias(out))
 
 
 def transform_label(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def transform_label(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame
 def fit_frequency(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(as_category(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("value", (F.col("n") / F.col("t")).alias(f"{column}_freq"))
+    return counts.transform(with_row, total).select("value", (F.col("n") / F.col("t")).alias(f"{column}_freq"))
 
 
 def transform_frequency(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -84,7 +93,7 @@ def fit_count(df: DataFrame, column: str, mode: str = "count") -> DataFrame:
     below = F.coalesce(F.sum("ties").over(upto), F.lit(0))
     ranks = per_count.select("n", (below + (F.col("ties") + 1) / 2.0).alias("rank"))
     size = per_count.agg(F.sum("ties").alias("k"))
-    return counts.join(ranks, "n").crossJoin(F.broadcast(size)).select("value", (F.col("rank") / F.col("k")).alias(name))
+    return counts.join(ranks, "n").transform(with_row, size).select("value", (F.col("rank") / F.col("k")).alias(name))
 
 
 def transform_count(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def out_of_fold_target(
     totals = cells.groupBy("__value").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
     per_fold = cells.groupBy("__fold").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
     everything = cells.agg(F.sum("n").alias("gn"), F.sum("s").alias("gs"))
-    priors = per_fold.crossJoin(F.broadcast(everything)).select(
+    priors = per_fold.transform(with_row, everything).select(
         "__fold", ((F.col("gs") - F.col("fs")) / (F.col("gn") - F.col("fn"))).alias("prior")
     )
     n, s = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s")
@@ -188,8 +197,6 @@ def time_holdout(df: DataFrame, order: Sequence[str], share: float = 0.8) -> Dat
 
 def stratified_folds(df: DataFrame, target: str, shuffle: Column, k: int, *, order: str = "id", rows_per_block: int | None = None) -> DataFrame:
     """Balanced folds per class: shuffled position within the class, modulo ``k``."""
-    from riskloom.operators.ordered import prefix_sums
-
     staged = df.withColumn("__h", shuffle)
     out = prefix_sums(staged, [target], ["__h", order], {"__pos": F.lit(1)}, inclusive=False, rows_per_block=rows_per_block)
     return out.withColumn("fold", F.pmod(F.col("__pos").cast("long"), F.lit(k)).cast("int")).drop("__h", "__pos")

@@ -18,6 +18,7 @@ from riskloom.functions.scalars import clip_probability, safe_divide
 from riskloom.functions.tails import ks_sf
 from riskloom.operators.ordered import prefix_sums, with_ordinal
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 
 def validated(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -37,7 +38,7 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), *, rows_per_block: int
     ).drop("__down")
     totals = df.groupBy(*keys).agg(F.sum("y").alias("all_pos"), F.sum(1 - F.col("y")).alias("all_neg"))
     # One row per scorer.
-    return running.join(F.broadcast(totals), keys) if keys else running.crossJoin(F.broadcast(totals))
+    return running.join(F.broadcast(totals), keys) if keys else running.transform(with_row, totals)
 
 
 def curve_points(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -138,7 +139,7 @@ def lift_gain(df: DataFrame, ties: Sequence[str], deciles: int = 10, *, rows_per
     totals = cells.agg(F.sum("n").alias("all_n"), F.sum("positives").alias("all_p"))
     # Ten rows.
     running = prefix_sums(cells, [], ["decile"], {"cum": F.col("positives")}, at_most=deciles)
-    return running.crossJoin(F.broadcast(totals)).select(
+    return running.transform(with_row, totals).select(
         "decile", "n", "positives", safe_divide("cum", "all_p").alias("cumulative_gain"),
         safe_divide(safe_divide("positives", "n"), safe_divide("all_p", "all_n")).alias("lift"),
     )
@@ -147,16 +148,15 @@ def lift_gain(df: DataFrame, ties: Sequence[str], deciles: int = 10, *, rows_per
 def threshold_sweep(df: DataFrame, keys: Sequence[str] = (), beta: float = 1.0, cost_fp: float = 10.0, cost_fn: float = 100.0) -> DataFrame:
     """Precision, recall, F-beta and cost at .01, .02, ... .99.
 
-    Rows are reduced to 101 buckets first; the range join runs on the buckets.
+    Rows are reduced to 101 buckets first; only the buckets meet the thresholds.
     """
     keys = list(keys)
     guess = F.floor(F.col("p") * 100).cast("int")
     bucket = F.when(F.col("p") >= (guess + 1) / 100.0, guess + 1).when(F.col("p") < guess / 100.0, guess - 1).otherwise(guess)
     hist = df.groupBy(*keys, bucket.alias("b")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    grid = df.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("k"))
     above = F.col("b") >= F.col("k")
     swept = (
-        hist.join(F.broadcast(grid)).groupBy(*keys, "k")
+        hist.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(99)))).groupBy(*keys, "k")
         .agg(
             F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
             F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("fn"),
@@ -271,7 +271,7 @@ def fairness(df: DataFrame, group: str, t: float = 0.5) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("y") == 0, hit)), F.lit(0.0)).alias("fpr"),
     )
     span = per.agg(safe_divide(F.min("positive_rate"), F.max("positive_rate"), 1.0).alias("impact_ratio"))
-    return per.crossJoin(F.broadcast(span)).withColumn("is_fair", F.col("impact_ratio") >= 0.8)
+    return per.transform(with_row, span).withColumn("is_fair", F.col("impact_ratio") >= 0.8)
 
 
 def blend(df: DataFrame, columns: Sequence[str], weights: Sequence[float]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.model import fit_tree, score
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 
 def linear_weights(model: Model, features: Sequence[str]) -> dict[str, float]:
@@ -38,7 +39,7 @@ def global_importance(parts: DataFrame) -> DataFrame:
     means = parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     total = means.agg(F.sum("mean_abs").alias("t"))
     share = F.coalesce(F.try_divide(F.col("mean_abs"), F.col("t")), F.lit(0.0))
-    return means.crossJoin(F.broadcast(total)).select("feature", "mean_abs", share.alias("importance"))
+    return means.transform(with_row, total).select("feature", "mean_abs", share.alias("importance"))
 
 
 def waterfall(parts: DataFrame, ids: Sequence[str], base: float, top: int = 10) -> DataFrame:

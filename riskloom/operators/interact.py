@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.bands import classify
 from riskloom.operators.correlation import pearson_pairs
 from riskloom.operators.drift import CELLS, divergence, side_counts, two_sided
+from riskloom.operators.rows import with_row
 from riskloom.operators.stats import _plug_in_mi, bin_columns
 
 PAIR = ["left", "right"]
@@ -78,7 +79,7 @@ def _hot(cells: DataFrame, keys: Sequence[str], df: DataFrame, target: str, supp
     best = F.min_by(F.struct("cell", "n", rate.alias("rate")), F.struct(-rate, F.col("cell"))).alias("b")
     overall = df.agg(F.avg(target).alias("__rate"))
     return (
-        enough.groupBy(*keys).agg(best).select(*keys, "b.*").crossJoin(F.broadcast(overall))
+        enough.groupBy(*keys).agg(best).select(*keys, "b.*").transform(with_row, overall)
         .withColumn("lift", F.try_divide(F.col("rate"), F.col("__rate"))).drop("__rate")
     )
 
@@ -122,7 +123,7 @@ def cell_odds(df: DataFrame, columns: Sequence[str], target: str, support: int =
     c = F.col("p") - F.col("positives") + 0.5
     d = (F.col("rows") - F.col("p")) - (F.col("n") - F.col("positives")) + 0.5
     rate = F.col("positives") / F.col("n")
-    out = cells.crossJoin(F.broadcast(overall)).select(
+    out = cells.transform(with_row, overall).select(
         *PAIR, "cell", "positives", (F.col("n") - F.col("positives")).alias("negatives"), rate.alias("rate"),
         F.coalesce(F.try_divide(rate * F.col("rows"), F.col("p")), F.lit(1.0)).alias("lift"), ((a / b) / (c / d)).alias("odds_ratio"),
     )
@@ -173,7 +174,7 @@ def production_screen(train: DataFrame, stability: DataFrame, columns: Sequence[
     cells = pair_cells(train, columns, target)
     size = train.agg(F.count(F.lit(1)).alias("rows"))
     sparse = (
-        cells.crossJoin(F.broadcast(size)).groupBy(*PAIR)
+        cells.transform(with_row, size).groupBy(*PAIR)
         .agg((F.avg((F.col("n") < F.col("rows") * 0.01).cast("double")) * 100.0).alias("sparse_pct"))
     )
     action = F.when(F.col("psi") >= 0.25, "REMOVE").when(F.col("sparse_pct") >= 60, "MERGE").otherwise("RETAIN")

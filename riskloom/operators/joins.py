@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.rows import with_row
+
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
@@ -96,11 +98,11 @@ def duplicate_overlap(train: DataFrame, test: DataFrame, columns: Sequence[str])
         .cast("long")
         .alias("duplicate_matches")
     )
-    sizes = train.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(
+    sizes = train.agg(F.count(F.lit(1)).alias("train_rows")).transform(with_row, 
         test.agg(F.count(F.lit(1)).alias("test_rows"))
     )
     share = F.coalesce(F.try_divide(F.col("duplicate_matches"), F.col("train_rows")), F.lit(0.0))
-    return matched.crossJoin(sizes).select(
+    return matched.transform(with_row, sizes).select(
         "train_rows",
         "test_rows",
         "duplicate_matches",

@@ -13,6 +13,7 @@ from riskloom.functions.scalars import numeric_columns, string_columns
 from riskloom.operators.aggregates import long_values, value_counts, wide_aggregate
 from riskloom.operators.quality import dominance_report, missing_report
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 
 def corrected_skewness(g1, n):
@@ -89,7 +90,7 @@ def inventory(train: DataFrame, test: DataFrame, target: str, identity: Sequence
             }
         )
 
-    both = side(train, "train", True).crossJoin(side(test, "test", False))
+    both = side(train, "train", True).transform(with_row, side(test, "test", False))
     pct = lambda a, b: F.coalesce(F.try_divide(F.col(a) * 100.0, F.col(b)), F.lit(0.0))
     return both.withColumns(
         {

@@ -12,6 +12,7 @@ from riskloom.functions.bands import classify
 from riskloom.functions.scalars import finite, numeric_columns, string_columns
 from riskloom.operators.aggregates import value_counts, wide_aggregate
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -363,7 +364,7 @@ def consistency_report(train: DataFrame, test: DataFrame, id_col: str, target: s
     count = lambda kind: sum(p == kind for _, p in problems)
     left = duplicate_rows(train, [id_col]).select(F.col("duplicates").alias("train_duplicate_ids"), F.col("n_rows").alias("train_rows"))
     right = duplicate_rows(test, [id_col]).select(F.col("duplicates").alias("test_duplicate_ids"), F.col("n_rows").alias("test_rows"))
-    return left.crossJoin(right).select(
+    return left.transform(with_row, right).select(
         "*",
         F.lit(count("only in train")).alias("only_in_train"),
         F.lit(count("only in test")).alias("only_in_test"),
@@ -424,4 +425,4 @@ def feature_health(df: DataFrame, columns: Sequence[str], limit: float) -> DataF
     """Null rate per feature, whether it breaks the limit, and the worst rate."""
     rates = missing_report(df, columns).select("feature", (F.col("missing_pct") / 100.0).alias("null_rate"))
     worst = rates.agg(F.max("null_rate").alias("max_null_rate"))
-    return rates.crossJoin(F.broadcast(worst)).withColumn("is_unhealthy", F.col("null_rate") > limit)
+    return rates.transform(with_row, worst).withColumn("is_unhealthy", F.col("null_rate") > limit)

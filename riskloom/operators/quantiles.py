@@ -37,7 +37,8 @@ def exact_quantiles(
     """Quantiles of several numeric columns: one list per column, nulls ignored."""
     limit = rows_per_block or ROWS_PER_BLOCK
     n = df.count()
-    if n <= limit:
+    # One buffer holds the values of all columns, so their number counts too.
+    if n * len(columns) <= limit:
         row = df.agg(
             *[
                 F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
@@ -45,7 +46,7 @@ def exact_quantiles(
             ]
         ).first()
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in columns}
-    parts = max(2, min(MAX_BLOCKS, math.ceil(n / limit) * 4))
+    parts = max(2, min(MAX_BLOCKS, math.ceil(n * len(columns) / limit) * 4))
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     cuts = wide.approxQuantile(list(columns), [i / parts for i in range(1, parts)], 1 / (4 * parts))
     blocked = Bucketizer(

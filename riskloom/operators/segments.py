@@ -14,6 +14,7 @@ from riskloom.functions.scalars import col, completeness
 from riskloom.operators.aggregates import long_values
 from riskloom.operators.quality import missing_report
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 
 def _need(df: DataFrame, *columns: str) -> None:
@@ -30,7 +31,7 @@ def with_risk(rates: DataFrame, df: DataFrame, target: str) -> DataFrame:
     """Add rate, share of rows and risk relative to the overall rate (a one-row side)."""
     overall = df.agg(F.count(F.lit(1)).alias("__rows"), F.avg(col(target)).alias("__rate"))
     return (
-        rates.crossJoin(F.broadcast(overall))
+        rates.transform(with_row, overall)
         .withColumns({"rate_pct": pct("positives", "total"), "share_pct": pct("total", "__rows")})
         .withColumn("relative_risk", F.try_divide(F.col("rate_pct"), F.col("__rate") * 100.0))
         .drop("__rows", "__rate")
@@ -59,7 +60,7 @@ def rates_by_feature(df: DataFrame, columns: Sequence[str], target: str) -> Data
     long = long_values(df, columns, keep=[F.col(target).alias("__y")]).filter(F.col("value").isNotNull())
     rates = long.groupBy("feature", "value").agg(F.count("__y").alias("total"), F.sum("__y").alias("positives"))
     every = df.agg(F.sum(target).alias("all_positives"))
-    out = with_risk(rates, df, target).crossJoin(F.broadcast(every))
+    out = with_risk(rates, df, target).transform(with_row, every)
     legit = F.lit(100.0) - F.col("rate_pct")
     return out.withColumns(
         {
@@ -102,7 +103,7 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     _need(df, target)
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     counts = df.groupBy(F.coalesce(F.col(target).cast("string"), F.lit("missing")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(total)).select("label", "n", pct("n", "__n").alias("pct"))
+    return counts.transform(with_row, total).select("label", "n", pct("n", "__n").alias("pct"))
 
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:
@@ -208,7 +209,7 @@ def key_features(df: DataFrame, columns: Sequence[str], target: str, top: int =
     missing = missing_report(df, columns).select("feature", "missing_pct")
     overall = df.agg((F.avg(target) * 100.0).alias("__rate"))
     return (
-        sums.join(missing, "feature").join(listed, "feature").crossJoin(F.broadcast(overall))
+        sums.join(missing, "feature").join(listed, "feature").transform(with_row, overall)
         .select(
             "feature", "n_unique", "missing_pct", "dominant_value", "dominant_pct",
             worst["value"].alias("riskiest_value"), worst["rate_pct"].alias("riskiest_rate"),
@@ -268,7 +269,7 @@ def hotspots(df: DataFrame, category: str, numeric: Sequence[str], target: str)
     best = F.min_by(F.struct("category", "bin", "n", "rate"), F.struct(-F.col("rate"), F.col("category"), F.col("bin")))
     overall = df.agg(F.avg(target).alias("__rate"))
     return (
-        cells.groupBy("feature").agg(best.alias("b")).select("feature", "b.*").crossJoin(F.broadcast(overall))
+        cells.groupBy("feature").agg(best.alias("b")).select("feature", "b.*").transform(with_row, overall)
         .withColumn("relative_risk", F.try_divide(F.col("rate"), F.col("__rate"))).drop("__rate")
     )
 

@@ -11,6 +11,7 @@ from riskloom.functions.scalars import numeric_columns
 from riskloom.operators.aggregates import wide_aggregate
 from riskloom.operators.correlation import pearson_pairs, target_correlation
 from riskloom.operators.quality import missing_report
+from riskloom.operators.rows import with_row
 from riskloom.operators.stats import mutual_information
 
 Selector = Callable[[DataFrame, Sequence[str]], list[str]]
@@ -45,7 +46,7 @@ def information_selector(df: DataFrame, columns: Sequence[str], target: str, lim
     mi = mutual_information(df, columns, target)
     top = mi.agg(F.max("mi").alias("__top"))
     score = F.coalesce(F.try_divide(F.col("mi"), F.col("__top")), F.lit(0.0))
-    return mi.crossJoin(F.broadcast(top)).select("feature", "mi", score.alias("score"), (score >= limit).alias("keep"))
+    return mi.transform(with_row, top).select("feature", "mi", score.alias("score"), (score >= limit).alias("keep"))
 
 
 def dropped(report: DataFrame) -> list[str]:

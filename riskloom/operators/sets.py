@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.joins import lookup_join
+from riskloom.operators.rows import with_row
 
 
 def sort_by_magnitude(df: DataFrame, column: str, tie: str) -> DataFrame:
@@ -70,7 +71,7 @@ def degree_features(df: DataFrame, key: str) -> DataFrame:
     """Transactions per card, the degree over the largest degree, and a risk level."""
     degree = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("degree"))
     top = degree.agg(F.max("degree").alias("__top"))
-    out = lookup_join(df, degree, [key]).crossJoin(F.broadcast(top)).withColumn("degree", F.coalesce("degree", F.lit(1)))
+    out = lookup_join(df, degree, [key]).transform(with_row, top).withColumn("degree", F.coalesce("degree", F.lit(1)))
     scaled = F.greatest(F.lit(0.001), F.least(F.lit(1.0), F.col("degree") / F.greatest(F.lit(1), F.col("__top"))))
     return out.withColumns(
         {"normalised_degree": scaled, "community_risk": F.when(F.col("degree") > 10, 0.8).otherwise(0.1)}

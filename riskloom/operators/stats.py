@@ -15,6 +15,7 @@ from riskloom.operators.bins import Edges, add_bins
 from riskloom.operators.drift import sided_value_counts
 from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.operators.rows import with_row
 
 
 def value_ranks(counts: DataFrame, n: Column, *, at_most: int | None = None, rows_per_block: int | None = None) -> DataFrame:
@@ -211,7 +212,7 @@ def corrected_p_values(tests: DataFrame, p: str = "p_value", key: str = "feature
     """Bonferroni, Holm and Benjamini-Hochberg; one row per test, so the windows are small."""
     m = tests.agg(F.count(F.lit(1)).alias("__m"))
     order = Window.orderBy(p, key)
-    ranked = tests.crossJoin(F.broadcast(m)).withColumn("__r", F.row_number().over(order))
+    ranked = tests.transform(with_row, m).withColumn("__r", F.row_number().over(order))
     one = F.lit(1.0)
     holm = F.max(F.col(p) * (F.col("__m") - F.col("__r") + 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     bh = F.min(F.col(p) * F.col("__m") / F.col("__r")).over(order.rowsBetween(0, Window.unboundedFollowing))

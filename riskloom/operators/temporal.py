@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import calendar_buckets
 from riskloom.operators.ordered import prefix_sums, trailing
+from riskloom.operators.rows import with_row
 from riskloom.operators.segments import rates_by_sets, with_risk
 
 DAY = 86_400
@@ -97,7 +98,7 @@ def seasonality(df: DataFrame, dt: str) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     index = n * F.col("k") / F.col("rows")
     return (
-        grid.join(F.broadcast(counts), ["dimension", "bucket"], "left").crossJoin(F.broadcast(total))
+        grid.join(F.broadcast(counts), ["dimension", "bucket"], "left").transform(with_row, total)
         .select("dimension", "bucket", n.alias("n"), index.alias("seasonal_index"),
                 F.when(F.abs(index - 1.0) > F.col("strong"), "Strong").otherwise("Weak").alias("strength"))
     )
@@ -117,7 +118,7 @@ def hour_drift(train: DataFrame, test: DataFrame, dt: str, floor: float = 1e-5)
     def shares(df: DataFrame, name: str) -> DataFrame:
         counts = df.groupBy(calendar_buckets(dt)["hour"].alias("hour")).agg(F.count(F.lit(1)).alias("n"))
         total = counts.agg(F.sum("n").alias("t"))
-        return counts.crossJoin(F.broadcast(total)).select("hour", (F.col("n") / F.col("t")).alias(name))
+        return counts.transform(with_row, total).select("hour", (F.col("n") / F.col("t")).alias(name))
 
     hours = train.sparkSession.range(24).select(F.col("id").alias("hour"))
     out = hours.join(F.broadcast(shares(train, "q")), "hour", "left").join(F.broadcast(shares(test, "p")), "hour", "left").fillna(0.0, ["p", "q"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import correlation, drift, interact, joins, profile, sets, stats
+from riskloom.operators.rows import with_row
 from riskloom.plans.profile_queries import _TXN_BAND, _TXN_TEXTS, _round, _txn_band, long_sql
 from riskloom.plans.registry import query
 from riskloom.plans.views import (
@@ -208,7 +209,7 @@ def drift_alerts(spark, d):
 def retrain_trigger(spark, d):
     found = drift.data_drift_monitor(*_ab(spark, d), _NUM).agg(F.max("is_drifted").alias("has_drift"))
     decay = drift.concept_drift(txn(spark, d, "train"), txn(spark, d, "test"), "y").select(F.col("is_drifted").alias("has_decay"))
-    return drift.retrain_trigger(found.crossJoin(decay))
+    return drift.retrain_trigger(found.transform(with_row, decay))
 
 
 @query("feature_drift_gate", f"SELECT feature, round(psi, 6) AS psi, psi > 0.25 AS is_drifted FROM {_psi_sql('histogram')}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate, vectors
 from riskloom.operators import select as selection
+from riskloom.operators.rows import with_row
 from riskloom.plans.comparison_queries import _MI, _WCOLS, _WIDE, _wide, _pairs_sql
 from riskloom.plans.profile_queries import _MISSING, _round, long_sql
 from riskloom.plans.registry import query
@@ -188,7 +189,7 @@ def service_metrics(spark, d):
 
 @query("release_gate", f"SELECT model, round(auc, 6) AS roc_auc, round(p95, 4) AS p95, CASE WHEN auc >= 0.5 AND p95 <= 500 THEN 'PASS' ELSE 'FAIL' END AS status FROM {_AUCS}, {_SERVICE}")
 def release_gate(spark, d):
-    metrics = evaluate.compare_models(model_scores(spark, d)).select("model", "roc_auc").crossJoin(_service(spark, d).select("p95"))
+    metrics = evaluate.compare_models(model_scores(spark, d)).select("model", "roc_auc").transform(with_row, _service(spark, d).select("p95"))
     return _round(evaluate.release_gate(metrics, 0.5, 500.0), p95=4)
 
 
@@ -317,7 +318,7 @@ def dataset_fingerprint(spark, d):
     df = doc(spark, d)
     here = vectors.dataset_fingerprint(df)
     shuffled = vectors.dataset_fingerprint(df.orderBy(F.col("doc_id").desc())).select(F.col("fingerprint").alias("other"))
-    return here.crossJoin(shuffled).select("n_rows", "n_columns", "missing_cells", (F.col("fingerprint") == F.col("other")).alias("order_insensitive"))
+    return here.transform(with_row, shuffled).select("n_rows", "n_columns", "missing_cells", (F.col("fingerprint") == F.col("other")).alias("order_insensitive"))
 
 
 @query(

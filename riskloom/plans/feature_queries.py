@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import scalars
 from riskloom.operators import aggregates, encode, joins, sets, temporal
 from riskloom.operators.quality import feature_gate
+from riskloom.operators.rows import with_row
 from riskloom.plans.profile_queries import _round
 from riskloom.plans.registry import query
 from riskloom.plans.views import (
@@ -319,7 +320,7 @@ def hashed_stratified_folds(spark, d):
 def report_sorted_by_magnitude(spark, d):
     df = txn(spark, d)
     overall = df.agg(F.avg("y").alias("m"))
-    lean = df.groupBy("key").agg(F.avg("y").alias("r")).crossJoin(F.broadcast(overall)).select("key", (F.col("r") - F.col("m")).alias("lean"))
+    lean = df.groupBy("key").agg(F.avg("y").alias("r")).transform(with_row, overall).select("key", (F.col("r") - F.col("m")).alias("lean"))
     return _round(sets.sort_by_magnitude(lean, "lean", "key"))
 
 

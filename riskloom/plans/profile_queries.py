@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schema
 from riskloom.operators import profile, quality
+from riskloom.operators.rows import with_row
 from riskloom.plans.registry import query
 from riskloom.plans.views import (
     DOC_SQL, LINE_FEATURES, LINE_SQL, TEST_SQL, TRAIN_SQL, TXN_SQL, doc, line, rounded, table, txn,
@@ -402,8 +403,8 @@ def quality_score(spark, d):
     df = doc(spark, d)
     dup = quality.duplicate_rows(df, ["source", "lang"]).select((F.col("duplicates") * 100.0 / F.col("n_rows") / 20).alias("duplicate_pct"))
     metrics = (
-        quality.missing_report(df).agg(F.avg("missing_pct").alias("missing_pct")).crossJoin(dup)
-        .crossJoin(df.agg((F.sum((F.col("n_chars") < 20).cast("long")) / 10.0).alias("invalid_count")))
+        quality.missing_report(df).agg(F.avg("missing_pct").alias("missing_pct")).transform(with_row, dup)
+        .transform(with_row, df.agg((F.sum((F.col("n_chars") < 20).cast("long")) / 10.0).alias("invalid_count")))
         .withColumns({"constant_pct": F.lit(2.0), "near_constant_pct": F.lit(1.0), "outlier_pct": F.lit(3.0), "schema_problems": F.lit(1.0)})
     )
     return _round(quality.quality_score(metrics))

@@ -34,8 +34,11 @@ def write_families(families: Mapping[str, DataFrame], base: str, version: str, o
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
-    """A small report as one CSV or JSON file."""
-    writer = df.coalesce(1).write.mode("overwrite")
+    """A small report as one CSV or JSON file.
+
+    The single file is made behind a shuffle, so the work before it stays parallel.
+    """
+    writer = df.repartition(1).write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "json":

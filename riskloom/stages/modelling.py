@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import drift, encode, evaluate, explain, model, quality
+from riskloom.operators.rows import with_row
 from riskloom.operators.sets import stack
 
 
@@ -69,5 +70,5 @@ def monitoring_reports(reference: DataFrame, current: DataFrame, features: Seque
     return {
         "data": data, "concept": drift.concept_drift(reference, current, target), "prediction": drift.prediction_drift(reference, current, "p"),
         "health": health, "decay": decay, "alerts": drift.alerts(data, health),
-        "retrain": drift.retrain_trigger(has_drift.crossJoin(decay.select("has_decay"))),
+        "retrain": drift.retrain_trigger(has_drift.transform(with_row, decay.select("has_decay"))),
     }

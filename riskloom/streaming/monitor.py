@@ -32,6 +32,6 @@ def drift_writer(reference: DataFrame, columns: Sequence[str], folder: str, limi
 
     def handle(batch: DataFrame, number: int) -> None:
         found = data_drift_monitor(reference, batch, columns, limit)
-        found.withColumn("batch", F.lit(number)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        found.withColumn("batch", F.lit(number)).repartition(1).write.mode("overwrite").parquet(f"{folder}/batch-{number}")
 
     return handle

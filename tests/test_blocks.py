@@ -144,3 +144,9 @@ def test_connected_groups(spark):
     got = correlation.connected_groups(spark.createDataFrame(chain, "left string, right string, r double")).collect()
     groups = {r["feature"]: r["component"] for r in got}
     assert set(groups.values()) == {"n00", "z1"} and groups["n12"] == "n00" and groups["z2"] == "z1"
+
+
+def test_label_encoder_ranges(spark):
+    df = spark.range(500).select(F.concat(F.lit("Customer#"), F.col("id") * 7919 % 500).alias("c"))
+    plain, ranged = encode.fit_label(df, "c"), encode.fit_label(df, "c", rows_per_block=30)
+    assert rows(plain, "value") == rows(ranged, "value")
