@@ -70,7 +70,11 @@ def stream_windowed_metrics(spark, d):
     )
 
 
-@query("stream_latency_percentiles")
+@query(
+    "stream_latency_percentiles",
+    f"""SELECT (dt // 86400) * 86400 AS window_start, quantile_disc(amt, 0.5) AS p50, quantile_disc(amt, 0.95) AS p95, quantile_disc(amt, 0.99) AS p99 FROM {EV_SQL}
+        GROUP BY 1 HAVING (dt // 86400) * 86400 + 86400 <= (SELECT max(dt) - 600 FROM {EV_SQL})""",
+)
 def stream_latency_percentiles(spark, d):
     out = work_path(spark, "latency")
     events = ev(spark, d).withColumn("ts", F.timestamp_seconds("dt"))
@@ -83,12 +87,18 @@ def stream_latency_percentiles(spark, d):
     return spark.read.parquet(out).select(F.unix_seconds("start").alias("window_start"), "p50", "p95", "p99")
 
 
-@query("stream_online_logistic")
+@query(
+    "stream_online_logistic",
+    f"""WITH w0 AS (SELECT 0.5 * avg(y - 0.5) AS b, 0.5 * avg((y - 0.5) * (amt / 100.0)) AS a FROM {EV_SQL} WHERE dt < {_CUT}),
+        e AS (SELECT y - 1 / (1 + exp(-(a * (amt / 100.0) + b))) AS err, amt / 100.0 AS x FROM {EV_SQL}, w0 WHERE dt >= {_CUT}),
+        w1 AS (SELECT (SELECT b FROM w0) + 0.5 * avg(err) AS b, (SELECT a FROM w0) + 0.5 * avg(err * x) AS a FROM e)
+        SELECT 'amount' AS feature, round(a, 8) AS weight FROM w1 UNION ALL SELECT 'bias', round(b, 8) FROM w1""",
+)
 def stream_online_logistic(spark, d):
     frame = ev(spark, d).select("dt", "y", (F.col("amt") / 100.0).alias("amount"), F.lit(1.0).alias("bias"))
     learner = scoring.OnlineLogistic(spark, ["amount", "bias"], rate=0.5)
     replay.replay(_slices(frame), lambda s: s.writeStream.foreachBatch(learner.update))
-    return learner.weights(spark, 1)
+    return _round(learner.weights(spark, 1), 8)
 
 
 _RATES = f"(SELECT key % 7 AS policy, dt // 86400 AS bucket, avg((y = 1 AND amt > 100)::INT) AS rate FROM {EV_SQL} GROUP BY 1, 2)"
