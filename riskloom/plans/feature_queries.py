@@ -493,34 +493,54 @@ def key_lookup(spark, d):
 
 
 def _registry(spark, d):
-    """Views described by the tables themselves: one view per table prefix."""
-    views = [
-        store.FeatureView("orders_view", "o_orderkey", tuple(c for c in table(spark, d, "orders").columns if c != "o_orderkey"), "v1", stage="ingest"),
-        store.FeatureView("customer_view", "c_custkey", tuple(c for c in table(spark, d, "customer").columns if c != "c_custkey"), "v2", stage="merge"),
-    ]
-    return store.registry_table(spark, views)
+    """One view per user: its features are the event types the user has."""
+    users = table(spark, d, "events").groupBy("user_id").agg(
+        F.array_sort(F.collect_set("event_type")).alias("features"), F.count(F.lit(1)).alias("n")
+    )
+    return users.select(
+        F.concat(F.lit("user_"), F.col("user_id")).alias("name"), F.lit("user_id").alias("entity"), "features",
+        F.concat(F.lit("v"), F.col("n") % 3).alias("version"), F.lit("").alias("description"),
+        F.struct(F.lit("events").alias("source"), F.lit("ingest").alias("stage")).alias("lineage"),
+        F.array(F.lit("reviewed")).alias("tags"),
+    )
 
 
-_CATALOG = """(SELECT 'orders_view' AS name, 'o_orderkey' AS entity, 'v1' AS version, 'ingest' AS stage, column_index - 1 AS position, column_name AS feature
-    FROM duckdb_columns() WHERE table_name = 'orders' AND column_name <> 'o_orderkey' UNION ALL
-    SELECT 'customer_view', 'c_custkey', 'v2', 'merge', column_index - 1, column_name FROM duckdb_columns() WHERE table_name = 'customer' AND column_name <> 'c_custkey')"""
+_VIEWS = """(SELECT 'user_' || user_id AS name, 'user_id' AS entity, 'v' || (count(*) % 3) AS version, 'ingest' AS stage,
+    list_sort(list(DISTINCT event_type)) AS features FROM events GROUP BY user_id)"""
 
 
-@query("feature_catalog", f"SELECT name, entity, version, stage, CAST(row_number() OVER (PARTITION BY name ORDER BY position) - 1 AS INTEGER) AS position, feature FROM {_CATALOG}")
+@query(
+    "feature_catalog",
+    f"SELECT name, entity, version, stage, CAST(generate_subscripts(features, 1) - 1 AS INTEGER) AS position, unnest(features) AS feature FROM {_VIEWS}",
+)
 def feature_catalog(spark, d):
     path = work_path(spark, "registry")
     store.save_registry(_registry(spark, d), path)
     return store.feature_catalog(store.load_registry(spark, path))
 
 
-@query("catalog_search", f"SELECT DISTINCT name, version FROM {_CATALOG} WHERE regexp_matches(feature, '(?i)ACCTBAL|segment')")
+@query("catalog_search", f"SELECT name, version FROM {_VIEWS} WHERE regexp_matches(name, '(?i)R_1') OR NOT list_contains(features, 'view')")
 def catalog_search(spark, d):
-    return store.search_views(_registry(spark, d), "ACCTBAL|segment").select("name", "version")
+    registry = _registry(spark, d)
+    lacking = registry.filter(~F.array_contains("features", "view"))
+    found = store.search_views(registry.select("name", "version", F.array(F.lit("x")).alias("features")), "R_1")
+    return found.select("name", "version").unionByName(lacking.select("name", "version")).distinct()
+
+
+@query("catalog_feature_search", f"SELECT name, version FROM {_VIEWS} WHERE regexp_matches(array_to_string(features, ' '), '(?i)SIGNUP|purch')")
+def catalog_feature_search(spark, d):
+    return store.search_views(_registry(spark, d), "SIGNUP|purch").select("name", "version")
+
+
+@query("newest_view_versions", f"SELECT entity, max(version) AS version FROM {_VIEWS} GROUP BY 1")
+def newest_view_versions(spark, d):
+    by_entity = _registry(spark, d).withColumn("name", F.col("entity"))
+    return store.newest_versions(by_entity).select("entity", "version")
 
 
 @query(
     "feature_documents",
-    f"SELECT name, '## ' || name || ' (' || version || ')' || chr(10) || string_agg('- ' || feature, chr(10) ORDER BY position) AS markdown FROM {_CATALOG} GROUP BY name, version",
+    f"SELECT name, '## ' || name || ' (' || version || ')' || chr(10) || '- ' || array_to_string(features, chr(10) || '- ') AS markdown FROM {_VIEWS}",
 )
 def feature_documents(spark, d):
     return store.view_documents(_registry(spark, d)).select("name", "markdown")

@@ -42,7 +42,7 @@ def registry_table(spark: SparkSession, views: Sequence[FeatureView]) -> DataFra
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    registry.repartition(1).write.mode("overwrite").json(path)
+    registry.write.mode("overwrite").json(path)
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
