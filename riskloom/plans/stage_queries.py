@@ -189,6 +189,16 @@ def identity_columns(spark, d):
 # --- analysis runs: how many rows each report of an analyzer has --------------------------------
 
 
+def counts_sql(**reports: int | str) -> str:
+    """Report names with their row counts: a number where it follows from the columns, else SQL."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS report, CAST(({n}) AS BIGINT) AS n_rows" for name, n in reports.items())
+
+
+_PRODUCTS = f"SELECT count(DISTINCT product) FROM {TRAIN_SQL}"
+_AMOUNT_BANDS = f"SELECT count(DISTINCT CASE WHEN amt <= 20 THEN 1 WHEN amt <= 100 THEN 2 WHEN amt <= 500 THEN 3 WHEN amt <= 2000 THEN 4 ELSE 5 END) FROM {EV_SQL} WHERE amt > 0"
+_REGIONS = f"SELECT count(DISTINCT key % 7) FROM {EV_SQL}"
+_TEXT_VALUES = f"SELECT count(DISTINCT lang) + count(DISTINCT toxic) FROM {DOC_SQL}"
+
 def _counted(reports, folder):
     return analysis.row_counts(analysis.save(reports, folder))
 
@@ -221,42 +231,68 @@ def numerical_analysis_run(spark, d):
     return _counted(analysis.numerical_reports(line(spark, d), ["qty", "price", "disc", "tax"]), work_path(spark, "numeric-reports"))
 
 
-@query("categorical_analysis_run")
+@query(
+    "categorical_analysis_run",
+    counts_sql(inventory=2, cardinality=2, rare=2, imbalance=2, rates=f"SELECT ({_PRODUCTS}) + 3", stability=2, encoding=2),
+)
 def categorical_analysis_run(spark, d):
     reports = analysis.categorical_reports(_txn_band(spark, d, "train"), _txn_band(spark, d, "test"), ["product", "band"], "y")
     return _counted(reports, work_path(spark, "categorical-reports"))
 
 
-@query("transaction_analysis_run")
+@query(
+    "transaction_analysis_run",
+    counts_sql(
+        amount=_AMOUNT_BANDS, amount_statistics=1, product=_REGIONS, keys=1, timing=24, distance=4,
+        profiles=f"SELECT count(*) FROM (SELECT DISTINCT key % 7, CASE WHEN amt <= 20 THEN 1 WHEN amt <= 100 THEN 2 WHEN amt <= 500 THEN 3 WHEN amt <= 2000 THEN 4 ELSE 5 END FROM {EV_SQL} WHERE amt > 0)",
+    ),
+)
 def transaction_analysis_run(spark, d):
     df = ev(spark, d).withColumn("region", F.col("key") % 7)
     reports = analysis.transaction_reports(df, "y", "dt", "amt", "region", ["region"], ["amt"])
     return _counted(reports, work_path(spark, "transaction-reports"))
 
 
-@query("identity_analysis_run")
+@query(
+    "identity_analysis_run",
+    counts_sql(inventory=3, ids=3, availability=f"SELECT count(DISTINCT toxic IS NULL) FROM {DOC_SQL}", missing=3, values=_TEXT_VALUES),
+)
 def identity_analysis_run(spark, d):
     return _counted(analysis.identity_reports(_labelled(spark, d), ["n_chars"], ["lang", "toxic"], "y"), work_path(spark, "identity-reports"))
 
 
-@query("anonymous_analysis_run")
+@query(
+    "anonymous_analysis_run",
+    counts_sql(inventory=3, series=2, flags=1, shape=2, anova=2, hotspots=2),
+)
 def anonymous_analysis_run(spark, d):
     df = line(spark, d).select(F.col("qty").alias("C1"), F.col("disc").alias("V1"), F.col("status").alias("M1"), "y")
     return _counted(analysis.anonymous_reports(df, {"C": ["C1"], "V": ["V1"], "M": ["M1"]}, ["M1"], "y"), work_path(spark, "anonymous-reports"))
 
 
-@query("correlation_analysis_run")
+@query(
+    "correlation_analysis_run",
+    counts_sql(
+        inventory=4, pearson=6, spearman=6, target=4, hubs=2, groups=2, pruning=1,
+    ),
+)
 def correlation_analysis_run(spark, d):
     df = line(spark, d).withColumn("price2", F.col("price") + F.col("qty"))
     return _counted(analysis.correlation_reports(df, ["qty", "price", "price2", "disc"], "y"), work_path(spark, "correlation-reports"))
 
 
-@query("interaction_analysis_run")
+@query(
+    "interaction_analysis_run",
+    counts_sql(separation=3, hotspots=3, odds=40, strength=3, recommended=6, triples=1, stability=3, screen=3),
+)
 def interaction_analysis_run(spark, d):
     return _counted(analysis.interaction_reports(*_ab(spark, d), ["qty", "price", "disc"], "y"), work_path(spark, "interaction-reports"))
 
 
-@query("statistical_test_run")
+@query(
+    "statistical_test_run",
+    counts_sql(ks=3, chi_square=1, mann_whitney=3, anova=1, mutual_information=3, corrections=4, effect_sizes=3, ranking=4),
+)
 def statistical_test_run(spark, d):
     return _counted(analysis.test_reports(line(spark, d), ["qty", "price", "disc"], ["status"], "y", "price"), work_path(spark, "test-reports"))
 
@@ -274,14 +310,20 @@ def missing_analysis_run(spark, d):
     return _counted(reports, work_path(spark, "missing-reports"))
 
 
-@query("profile_analysis_run")
+@query(
+    "profile_analysis_run",
+    counts_sql(inventory=1, cardinality=8, completeness=1, advice=f"SELECT (count(DISTINCT lang) <= 10)::INT + (count(DISTINCT source) <= 10 OR count(DISTINCT source) > 100)::INT FROM {DOC_SQL} WHERE doc_id % 5 <> 0", dictionary=8),
+)
 def profile_analysis_run(spark, d):
     df = _labelled(spark, d)
     reports = analysis.profile_reports(df.filter("doc_id % 5 <> 0"), df.filter("doc_id % 5 = 0"), "y", ["quality", "toxic"], ["lang", "source"])
     return _counted(reports, work_path(spark, "profile-reports"))
 
 
-@query("quality_analysis_run")
+@query(
+    "quality_analysis_run",
+    counts_sql(missing=6, duplicates=3, constant=0, near_constant=0, invalid=3, infinite=1, outliers=2, consistency=1),
+)
 def quality_analysis_run(spark, d):
     return _counted(analysis.quality_reports(txn(spark, d, "train"), txn(spark, d, "test"), "id", "y", ["amt", "dt"]), work_path(spark, "quality-reports"))
 
