@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +32,16 @@ TREE_SAMPLE = 32_768
 SHARD_POINTS = 200_000
 MAX_DEPTH = 11
 #: Points below which a shard compares all of them instead of splitting again.
-LEAF_POINTS = 2_048
+LEAF_POINTS = 1_024
+#: Points compared with a block of 256 at once, so that the differences stay in the cache.
+TILE = 256
 SEED = 42
+#: For groups of similar texts: 64-bit fingerprints a text, least similarity and words of a shingle.
+PARTS = 6
+SIMILARITY = 0.8
+VERIFY_WORDS = 5
+#: An odd number that spreads bits when multiplied by.
+MIX = 0x9E3779B97F4A7C15
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -120,10 +127,11 @@ class TopTree:
 
 
 class Forest:
-    """Union-find over positions, with vectorised look-ups."""
+    """Union-find over positions, with vectorised look-ups and the pairs that joined components."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.pairs: list[tuple[int, int]] = []
 
     def find(self, at: np.ndarray) -> np.ndarray:
         roots = self.parent[at]
@@ -135,11 +143,17 @@ class Forest:
         self.parent[at] = roots
         return roots
 
-    def join(self, roots: np.ndarray) -> None:
-        tops = {int(self.find(np.array([r]))[0]) for r in roots}
-        low = min(tops)
-        for top in tops:
-            self.parent[top] = low
+    def top(self, at: int) -> int:
+        while self.parent[at] != at:
+            at = self.parent[at]
+        return int(at)
+
+    def join(self, a: int, b: int) -> None:
+        """Join the components of the linked positions ``a`` and ``b``."""
+        low, high = sorted((self.top(a), self.top(b)))
+        if low != high:
+            self.parent[high] = low
+            self.pairs.append((a, b))
 
 
 def link_all(points: np.ndarray, forest: Forest, ask: np.ndarray, home: np.ndarray, radius: int) -> None:
@@ -149,6 +163,7 @@ def link_all(points: np.ndarray, forest: Forest, ask: np.ndarray, home: np.ndarr
     which keeps a dense group of near copies from costing its square.
     """
     within = ask is home
+    bits, ones = np.empty(256 * TILE, dtype=np.uint64), np.empty(256 * TILE, dtype=np.uint8)
     while len(ask):
         labels = forest.find(ask)
         ask = ask[np.argsort(labels, kind="stable")]
@@ -158,20 +173,23 @@ def link_all(points: np.ndarray, forest: Forest, ask: np.ndarray, home: np.ndarr
         own, others = forest.find(block), home
         if (own == own[0]).all():
             others = home[forest.find(home) != own[0]]
-        for at in range(0, len(others), 16_384):
-            part = others[at : at + 16_384]
-            near = np.bitwise_count(points[block][:, None] ^ points[part][None, :]) <= radius
-            rows, columns = np.nonzero(near)
-            if not len(rows):
+        for at in range(0, len(others), TILE):
+            part = others[at : at + TILE]
+            shape = (len(block), len(part))
+            differ = np.bitwise_xor(points[block][:, None], points[part][None, :], out=bits[: shape[0] * shape[1]].reshape(shape))
+            counts = np.bitwise_count(differ, out=ones[: shape[0] * shape[1]].reshape(shape))
+            if counts.min() > radius:
                 continue
-            a, b = forest.find(block)[rows], forest.find(part)[columns]
-            apart = a != b
-            for pair in np.unique(np.stack((a[apart], b[apart]), axis=1), axis=0):
-                forest.join(pair)
+            rows, columns = np.nonzero(counts <= radius)
+            roots = np.stack((forest.find(block)[rows], forest.find(part)[columns]), axis=1)
+            apart = np.flatnonzero(roots[:, 0] != roots[:, 1])
+            _, first = np.unique(roots[apart], axis=0, return_index=True)
+            for i in apart[first]:
+                forest.join(int(block[rows[i]]), int(part[columns[i]]))
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Component label of each point, joining points within ``radius`` of a point that lives here."""
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> Forest:
+    """Components of the points within ``radius`` of a point that lives here."""
     forest = Forest(len(points))
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
@@ -192,36 +210,51 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np
         seen = distances(points[visitors], centre).astype(np.int16)
         todo.append((own[inner], visitors[seen <= split + radius]))
         todo.append((own[~inner], np.concatenate((own[inner & (away > split - radius)], visitors[seen > split - radius]))))
-    return forest.find(np.arange(len(points)))
+    return forest
 
 
-def shard_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``(a, b)`` that connect the same fingerprints as all pairs within ``radius`` do.
+def shard_links(prints: DataFrame, radius: int = RADIUS, *, pairs: bool = False) -> DataFrame:
+    """Links ``(part, a, b)`` that connect the same fingerprints of a part as all pairs within ``radius`` do.
 
-    ``prints(fp)`` holds each fingerprint once. A shard returns one link per
-    point to a representative of its component, never all pairs of a group.
+    ``prints(part, fp)`` holds each fingerprint of each part once; parts are
+    searched apart. A shard returns a spanning forest of its components, never
+    all pairs of a group: a link from each point to its component's
+    representative, or, with ``pairs``, links that are within ``radius``
+    themselves.
     """
-    n = prints.count()
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    wanted = max(n / SHARD_POINTS, min(32.0, n / LEAF_POINTS), 1.0)
-    tree = TopTree(sample.view(np.uint64), min(MAX_DEPTH, int(np.ceil(np.log2(wanted)))))
+    sizes = {r["part"]: r["count"] for r in prints.groupBy("part").count().collect()}  # a row for each part
+    sample = prints.orderBy(F.xxhash64("part", "fp"), "fp").limit(TREE_SAMPLE).toPandas()
+    trees = {}
+    for part, n in sizes.items():
+        own = sample.loc[sample["part"] == part, "fp"].to_numpy(np.int64).view(np.uint64)
+        wanted = max(n / SHARD_POINTS, min(32.0, n / LEAF_POINTS), 1.0)
+        trees[part] = TopTree(own, min(MAX_DEPTH, int(np.ceil(np.log2(wanted)))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, part, home in tree.deal(points, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), shard, dtype=np.int32)), pa.array(part.view(np.int64)), pa.array(home)],
-                    names=["shard", "fp", "home"])
+            parts = batch.column(0).to_numpy(zero_copy_only=False)
+            points = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for part in np.unique(parts):
+                for shard, dealt, home in trees[part].deal(points[parts == part], radius):
+                    n = len(dealt)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.full(n, shard, dtype=np.int32)),
+                         pa.array(dealt.view(np.int64)), pa.array(home)], names=["part", "shard", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         points = group.column("fp").to_numpy().view(np.uint64)
-        labels = link_shard(points, group.column("home").to_numpy(zero_copy_only=False), radius)
-        linked = labels != np.arange(len(points))
-        return pa.table({"a": points[linked].view(np.int64), "b": points[labels[linked]].view(np.int64)})
+        forest = link_shard(points, group.column("home").to_numpy(zero_copy_only=False), radius)
+        if pairs:
+            a, b = (np.array(forest.pairs, dtype=np.int64).reshape(-1, 2)).T
+        else:
+            labels = forest.find(np.arange(len(points)))
+            a = np.flatnonzero(labels != np.arange(len(points)))
+            b = labels[a]
+        part = np.full(len(a), group.column("part")[0].as_py(), dtype=np.int32)
+        return pa.table({"part": part, "a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
-    dealt = prints.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = prints.select("part", "fp").mapInArrow(deal, "part int, shard int, fp long, home boolean")
+    return dealt.groupBy("part", "shard").applyInArrow(search, "part int, a long, b long")
 
 
 def near_duplicates(
@@ -240,7 +273,7 @@ def near_duplicates(
     """
     rows = staged(fingerprints(docs, shingle_words), "prints")
     points = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    links = shard_links(points, radius)
+    links = shard_links(points.select(F.lit(0).alias("part"), "fp"), radius).select("a", "b")
     roots = staged(connected_components(links), "roots").withColumnRenamed("node", "fp")
     linked = points.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -255,34 +288,118 @@ def hex_print(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate group.
+def word_sketch(text: bytes | None, parts: int = PARTS) -> np.ndarray:
+    """``parts`` 64-bit SimHashes of the distinct words of ``text``, A-Z lower-cased.
+
+    A changed word touches one feature here and five of its shingles, so the
+    bits of near copies differ far less than those of shingle fingerprints.
+    """
+    words = set((text or b"").lower().split())
+    if not words:
+        return np.zeros(parts, dtype=np.uint64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    ones = np.zeros(64 * parts, dtype=np.int64)
+    for at in range(0, len(hashes), 16_384):
+        piece = hashes[at : at + 16_384, None]
+        mixed = (piece ^ (piece >> np.uint64(31))) * (np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(MIX) | np.uint64(1))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(MIX)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words)).view(">u8").astype(np.uint64)
+
+
+def word_sketches(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+    """``(doc_id, mark, prints)`` for each row; ``mark`` is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([word_sketch(t.as_py(), parts) for t in batch.column(2)], dtype=np.uint64).reshape(-1)
+            offsets = np.arange(0, len(prints) + 1, parts, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, prints.view(np.int64))],
+                names=["doc_id", "mark", "prints"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary"))
+    return rows.mapInArrow(run, "doc_id long, mark long, prints array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle_words: int = VERIFY_WORDS) -> DataFrame:
+    """``(node, shingles)`` of ``docs(node, text)``: distinct 64-bit hashes of the word shingles."""
 
-    The document with the smallest doc_id stays; of rows that repeat this id
-    one stays, and of a group in which no row has an id one row stays.
+    def hashes(text: bytes | None) -> np.ndarray:
+        words = (text or b"").lower().split()
+        runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))} if words else ()
+        return np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # a few sets at once
+                piece = batch.slice(at, 500)
+                sets = [hashes(t.as_py()) for t in piece.column(1)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``node``, the doc_id where it names one row and else a hash; and the ids of several rows or none."""
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = staged(counts.filter("n > 1 or doc_id is null").select("doc_id", F.lit(True).alias("__shared")), "shared")
+    return _with_node(rows, shared), shared
+
+
+def _with_node(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    marked = attach(rows, shared, ["doc_id"])
+    node = F.when(F.col("__shared"), F.xxhash64("doc_id", "mark")).otherwise(F.col("doc_id"))
+    return marked.withColumn("node", node).drop("__shared")
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = SIMILARITY, parts: int = PARTS, radius: int = RADIUS
+) -> tuple[DataFrame, DataFrame]:
+    """``(node, root)`` of every row in a group of similar texts, and the ids shared by several rows.
+
+    Candidates agree within ``radius`` bits in one of ``parts`` fingerprints of
+    their distinct words; each part is a search of its own. A candidate pair
+    links if the Jaccard similarity of its five-word shingles is at least
+    ``similarity``. Candidates of a group are the pairs of a spanning forest
+    and the pairs with the smallest node of each fingerprint.
+    """
+    rows, shared = _nodes(staged(word_sketches(docs, parts), "sketches"))
+    long = staged(rows.select("node", F.posexplode("prints").alias("part", "fp")), "prints")
+    points = staged(long.groupBy("part", "fp").agg(F.min("node").alias("first")), "points")
+    same = long.join(points, ["part", "fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = staged(shard_links(points, radius, pairs=True), "links")
+    ends = [points.select("part", F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
+    near = links.join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    both = same.unionAll(near)
+    pairs = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter("a <> b"), "pairs")
+    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+    texts = _with_node(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), shared)
+    sets = staged(shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text")).dropDuplicates(["node"]), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    total = F.size("s_a") + F.size("s_b") - common
+    true_links = met.filter(common >= F.lit(similarity) * total).select("a", "b")
+    return connected_components(staged(true_links, "similar")), shared
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without all but one document of each group of similar texts; see ``similar_groups``.
+
+    The document with the smallest doc_id stays. Texts without a word are
+    similar to each other. Of rows that repeat an id and a text one stays; rows
+    that share an id otherwise, and rows with a null id, count as documents of
+    their own, of which one is kept per group. An empty table stays empty.
     """
-    groups = staged(near_duplicates(docs, shingle_words, radius), "groups")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = groups.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(stays).alias("stays"))
-    # Ids of several rows, and the null id, may both stay and go: the fingerprint tells their rows apart.
-    shared = (F.col("n") > 1) | F.col("doc_id").isNull()
-    out = attach(docs, staged(ids.filter(~F.col("stays") | shared).select("doc_id"), "leave"), ["doc_id"], "left_anti")
-    several = groups.filter(stays).join(ids.filter(shared).select(F.col("doc_id").alias("__id")),
-                                        F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    several = staged(several.select("doc_id", F.col("fp").alias("__fp")).distinct(), "several")
-    if several.limit(1).count():
-        rows = docs.withColumn("__fp", fingerprints_column(shingle_words)(F.col("text").cast("binary")))
-        rows = attach(rows, several, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
-        out = out.unionByName(rows.drop("__fp"))
-    return out
-
-
-def fingerprints_column(shingle_words: int = SHINGLE_WORDS):
-    """The fingerprint as a column function of the text's bytes."""
-
-    @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64))
-
-    return prints
+    groups, shared = similar_groups(docs, similarity)
+    leave = staged(groups.filter("node <> root").select("node"), "leave")
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    marked = attach(marked, shared, ["doc_id"])
+    node = F.when(F.col("__shared"), F.xxhash64(F.col("doc_id").cast("long"), "__mark")).otherwise(F.col("doc_id").cast("long"))
+    marked = attach(marked.withColumn("node_", node), leave.withColumnRenamed("node", "node_"), ["node_"], "left_anti")
+    out = marked.filter(F.col("__shared").isNull())
+    if shared.limit(1).count():
+        out = out.unionByName(marked.filter(F.col("__shared")).dropDuplicates(["node_"]))
+    return out.select(*docs.columns)
