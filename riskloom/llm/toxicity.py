@@ -34,6 +34,8 @@ DECAY = 0.5
 TRAIN_DOCS = 2_000
 LANDMARKS = 160
 ROUNDS = 3
+#: Words of clean texts that serve as examples besides the worst ones.
+USUAL_WORDS = 8_000
 #: Words above this length are cut into overlapping pieces of two thirds of it.
 MAX_WORD = 24
 #: Characters of text scored at once.
@@ -92,12 +94,11 @@ class Words:
 def words_of(texts: list[str]) -> Words:
     parts = [codes(t) for t in texts]
     chars = np.concatenate([np.zeros(1, np.uint8), *parts]).astype(np.int32)
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
     gaps = np.flatnonzero(chars == 0)
     starts = gaps[:-1] + 1
     lengths = np.diff(gaps) - 1
-    run = np.repeat(gaps[1:], np.diff(gaps)) - np.arange(gaps[0], gaps[-1])
-    run = np.append(run, 0)
+    run = np.append(np.repeat(gaps[1:], np.diff(gaps)) - np.arange(gaps[0], gaps[-1]), 0).astype(np.int32)
     run[gaps] = 0
     keep = lengths >= 3
     starts, lengths = starts[keep], lengths[keep]
@@ -201,7 +202,7 @@ class Landmarks:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Normal vector, then bias, of a linear machine with squared hinge loss, by Newton steps."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
@@ -280,85 +281,104 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _first_weights(words: Words, toxic: np.ndarray) -> np.ndarray:
+def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of some ``CHUNK_CHARS`` characters, with the number of the first."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK_CHARS // 2:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def _first_weights(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """How much more often each subsequence occurs in toxic documents, in standard errors."""
-    at, found, _ = feature_codes(words, 4)
-    owner = words.doc[np.clip(np.searchsorted(words.starts, at, side="right") - 1, 0, None)]
-    seen = np.unique(owner.astype(np.int64) << 18 | found)
-    doc, code = seen >> 18, seen & (1 << 18) - 1
+    seen_in = np.zeros((2, 1 << 18))
+    for start, part in chunks(texts):
+        words = words_of(part)
+        at, found, _ = feature_codes(words, 4)
+        owner = words.doc[np.clip(np.searchsorted(words.starts, at, side="right") - 1, 0, None)]
+        seen = np.unique(owner.astype(np.int64) << 18 | found)
+        doc, code = seen >> 18, seen & (1 << 18) - 1
+        for label in (0, 1):
+            seen_in[label] += np.bincount(code[toxic[start + doc] == bool(label)], minlength=1 << 18)
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    in1 = np.bincount(code[toxic[doc]], minlength=1 << 18)
-    in0 = np.bincount(code[~toxic[doc]], minlength=1 << 18)
-    share = (in1 + in0 + 1) / (n1 + n0 + 2)
-    return (in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    share = (seen_in.sum(axis=0) + 1) / (n1 + n0 + 2)
+    return (seen_in[1] / n1 - seen_in[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
 
 
-def _worst(words: Words, values: np.ndarray, docs: np.ndarray, n: int) -> list[list[int]]:
+def _worst(words: Words, values: np.ndarray, docs: np.ndarray, n: int) -> list[list[bytes]]:
     """The ``n`` words of the highest value of each of ``docs``, different ones."""
     order = np.lexsort((-values, words.doc))
     starts = np.searchsorted(words.doc[order], docs)
     ends = np.searchsorted(words.doc[order], docs, side="right")
     out = []
     for s, e in zip(starts, ends):
-        names: dict[bytes, int] = {}
+        names: dict[bytes, None] = {}
         for i in order[s : min(e, s + 8 * n)]:
-            names.setdefault(spelling(words, i), int(i))
+            names[spelling(words, i)] = None
             if len(names) == n:
                 break
-        out.append(list(names.values()))
+        out.append(list(names))
     return out
 
 
+def _examples(texts: list[str], toxic: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """The worst word of each toxic text; the four worst of each clean one, and some of its others."""
+    witnesses, hard, usual = [], [], []
+    share = USUAL_WORDS / max(sum(map(len, texts)), 1)
+    for start, part in chunks(texts):
+        words = words_of(part)
+        if not len(words.starts):
+            continue
+        values, labels = fold(words, weights), toxic[start : start + len(part)]
+        witnesses += [w[0] for w in _worst(words, values, np.flatnonzero(labels), 1) if w]
+        hard += [x for w in _worst(words, values, np.flatnonzero(~labels), 4) for x in w]
+        clean = np.flatnonzero(~labels[words.doc])
+        some = rng.choice(clean, min(len(clean), math.ceil(share * sum(map(len, part)))), replace=False)
+        usual += [spelling(words, i) for i in some]
+    return witnesses, hard, usual
+
+
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model | None:
     """A model of documents and labels; ``weight`` is the number of documents that each stands for.
 
-    None if one of the classes is missing.
+    A quarter of the documents is kept for the curve of probabilities. None if
+    one of the classes is missing. Texts are read in runs, so memory holds one
+    run and the examples.
     """
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return None
-    held = np.arange(len(texts)) % 4 == 3  # for the curve
-    if not (toxic & held).any() or not (~toxic & held).any() or not (toxic & ~held).any() or not (~toxic & ~held).any():
+    held = np.arange(len(texts)) % 4 == 3
+    if not all((kind & part).any() for kind in (toxic, ~toxic) for part in (held, ~held)):
         held = np.zeros(len(texts), dtype=bool)
-    train = [t for t, h in zip(texts, held) if not h]
-    labels = toxic[~held]
-    words = words_of(train)
-    if not len(words.starts):
-        return None
-    values = fold(words, _first_weights(words, labels))
-    rng = np.random.default_rng(0)
-    model = None
+    train_on, labels = [t for t, h in zip(texts, held) if not h], toxic[~held]
+    weights, model, rng = _first_weights(train_on, labels), None, np.random.default_rng(0)
     for _ in range(ROUNDS):
-        witnesses = [w[0] for w in _worst(words, values, np.flatnonzero(labels), 1) if w]
-        hard = [i for w in _worst(words, values, np.flatnonzero(~labels), 4) for i in w]
-        usual = rng.choice(len(words.starts), min(len(words.starts), 8_000), replace=False)
-        usual = [i for i in usual if not labels[words.doc[i]]]
-        counts: dict[bytes, list[int]] = {}
-        for i in witnesses:
-            counts.setdefault(spelling(words, i), [0, 0])[0] += 1
-        n_witnessed = len(counts)
-        if not n_witnessed:
+        witnesses, hard, usual = _examples(train_on, labels, weights, rng)
+        if not witnesses or not hard:
             break
-        for i in [*hard, *usual]:
-            counts.setdefault(spelling(words, i), [0, 0])[1] += 1
+        counts: dict[bytes, list[int]] = {}
+        for kind, words in ((0, witnesses), (1, hard), (1, usual)):
+            for word in words:
+                counts.setdefault(word, [0, 0])[kind] += 1
         items = list(counts)
-        marks = sorted(items[:n_witnessed], key=lambda k: (-counts[k][0], k))[: LANDMARKS // 2]
-        marks = list(dict.fromkeys(marks + [spelling(words, i) for i in hard[: LANDMARKS // 4]]
-                                   + [spelling(words, i) for i in usual[: LANDMARKS // 4]]))
-        landmarks = Landmarks(marks)
+        marks = sorted(set(witnesses), key=lambda k: (-counts[k][0], k))[: LANDMARKS // 2]
+        landmarks = Landmarks(list(dict.fromkeys(marks + hard[: LANDMARKS // 4] + usual[: LANDMARKS // 4])))
         x = landmarks.map(items)
         n = np.array([counts[k] for k in items], dtype=float)
-        both = np.vstack((x, x))
-        y = np.repeat([1.0, -1.0], len(items))
-        cost = np.concatenate((n[:, 0] / n[:, 0].sum(), n[:, 1] / max(n[:, 1].sum(), 1)))
+        cost = np.concatenate((n[:, 0] / n[:, 0].sum(), n[:, 1] / n[:, 1].sum()))
         used = cost > 0
-        w = svm(both[used], y[used], cost[used])
-        model = Model(landmarks.weights(w[:-1]), float(w[-1]), 1.0, 0.0)
-        values = fold(words, model.weights)
+        w = svm(np.vstack((x, x))[used], np.repeat([1.0, -1.0], len(items))[used], cost[used])
+        weights = landmarks.weights(w[:-1])
+        model = Model(weights, float(w[-1]), 1.0, 0.0)
     if model is None:
         return None
     curve = held if held.any() else np.ones(len(texts), dtype=bool)
-    scores = model.decisions([t for t, h in zip(texts, curve) if h])
+    scores = np.concatenate([model.decisions(part) for _, part in chunks([t for t, h in zip(texts, curve) if h])])
     model.slope, model.offset = platt(scores, toxic[curve].astype(float), np.asarray(weight, float)[curve])
     return model
 
