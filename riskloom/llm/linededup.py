@@ -189,15 +189,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines and the count ``n_dropped``; null texts turn empty.
 
-    ``bitmaps`` is a staged table of ``keep_bitmaps``.
+    ``bitmaps`` is a staged table of ``keep_bitmaps``. All columns of ``docs``
+    stay but for earlier ones named ``kept_text`` and ``n_dropped``.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("mark", F.crc32(text.cast("binary")))
-    out = attach(rows, bitmaps, ["doc_id", "mark"])
-    return out.withColumn("kept_text", F.pandas_udf(_kept, "string")(text, "bitmap")).withColumn(
-        "n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop("mark", "bitmap")
+    rows = docs.drop("kept_text", "n_dropped").withColumn("__mark", F.crc32(text.cast("binary")))
+    side = bitmaps.withColumnsRenamed({"mark": "__mark", "bitmap": "__bitmap", "n_dropped": "__n_dropped"})
+    out = attach(rows, side, ["doc_id", "__mark"])
+    return out.withColumns({
+        "kept_text": F.pandas_udf(_kept, "string")(text, "__bitmap"),
+        "n_dropped": F.coalesce("__n_dropped", F.lit(0).cast("long"))}).drop("__mark", "__bitmap", "__n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the columns ``kept_text`` and ``n_dropped``; see ``keep_bitmaps``."""
+    """``docs`` with the columns ``kept_text`` and ``n_dropped``; see ``keep_bitmaps`` and ``apply_bitmaps``."""
     return apply_bitmaps(docs, staged(keep_bitmaps(docs, min_chars, min_docs), "bitmaps"))
