@@ -41,8 +41,9 @@ def shingles(word_array: Column, k: int) -> Column:
 
     def runs(hashes: Column) -> Column:
         n = F.size(hashes)
-        every = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.slice(hashes, i + 1, k)))
-        return F.when(n >= k, every).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<long>"))
+        run = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
+        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), run)).when(
+            n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<long>"))
 
     return let(F.transform(word_array, lambda w: F.xxhash64(w)), runs)
 
@@ -91,23 +92,40 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def multi_index(items: DataFrame) -> DataFrame:
     """``(k, n, block, value)`` of every block value within ``BLOCK_RADIUS`` bits of an item's."""
     flips = [v for v in range(2**BLOCK_BITS) if v.bit_count() <= BLOCK_RADIUS]
-    rows = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    rows = items.select("k", "n", "item_id", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     rows = rows.withColumn("flip", F.explode(F.array(*[F.lit(v) for v in flips])))
     value = block_value(F.col("fp"), F.col("block")).bitwiseXOR(F.col("flip")).cast("int")
-    return rows.select("k", "n", "block", value.alias("value"), "item_id", F.col("fp").alias("item_fp"),
-                       bag(F.col("shingles")).alias("item_bag"))
+    return rows.select("k", "n", "block", value.alias("value"), "item_id", F.col("fp").alias("item_fp"))
 
 
-def _windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Windows ``(doc_id, n, window)`` of shingles that start at a shingle shared with an item of ``n`` shingles.
+def _marked(docs: DataFrame) -> DataFrame:
+    """``mark``, a hash of the text, tells rows with the same id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+
+
+def anchors(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, mark, at)``: positions of shingles shared with an item, each with the item's number of shingles."""
+    shared = items.filter(F.col("k") == k).select(F.explode("shingles").alias("h"), "n").distinct()
+    hashed = _marked(docs).select("doc_id", "mark", F.posexplode(shingles(words(), k)).alias("pos", "h"))
+    met = hashed.join(F.broadcast(shared), "h")
+    return met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("n", "pos")).alias("at"))
+
+
+def windows(docs: DataFrame, at: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, n, window, fp)``: runs of ``n`` shingles that start at a shared one, and their SimHash.
 
     Near the end of a document a window starts early enough to fit.
     """
-    shared = items.filter(F.col("k") == k).select(F.explode("shingles").alias("h"), "n").distinct()
-    hashed = docs.select(F.col("doc_id").cast("long"), shingles(words(), k).alias("all"))
-    at = hashed.select("doc_id", "all", F.posexplode("all").alias("pos", "h")).join(F.broadcast(shared), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.size("all") - F.col("n")))
-    return at.select("doc_id", "n", F.slice("all", start + 1, F.col("n")).alias("window"))
+
+    def of_document(hashes: Column) -> Column:
+        start = lambda a: F.greatest(F.lit(0), F.least(a["pos"], F.size(hashes) - a["n"]))
+        starts = F.array_distinct(F.transform("at", lambda a: F.struct(a["n"].alias("n"), start(a).alias("start"))))
+        return F.transform(starts, lambda a: let(F.slice(hashes, a["start"] + 1, a["n"]), lambda w: F.struct(
+            a["n"].alias("n"), w.alias("window"), simhash(w).alias("fp"))))
+
+    rows = attach(_marked(docs), at, ["doc_id", "mark"], "inner")
+    found = rows.select("doc_id", F.explode(let(shingles(words(), k), of_document)).alias("w"))
+    return found.select("doc_id", "w.n", "w.window", "w.fp")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -115,9 +133,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
     The shared shingles of the benchmark are broadcast in blocks of items whose
     measured size stays under ``BROADCAST_BYTES``; each block is one pass over
-    the documents.
+    the documents, and one more over those that share a shingle.
     """
     items = staged(benchmark_items(benchmark), "items")
+    bags = staged(items.select("item_id", "k", F.col("n").alias("item_n"), bag(F.col("shingles")).alias("item_bag")), "bags")
     parts = max(1, -(-measured_bytes(items) * 3 // BROADCAST_BYTES))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE_WORDS values
     found = None
@@ -125,16 +144,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         index = staged(multi_index(block), "index")
         for k in sizes:
-            rows = _windows(docs, block, k)
-            rows = rows.withColumn("fp", simhash(F.col("window")))
-            rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+            at = staged(anchors(docs, block, k), "anchors")
+            rows = windows(docs, at, k).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
             rows = rows.withColumn("value", block_value(F.col("fp"), F.col("block")).cast("int"))
             near = attach(rows, index.filter(F.col("k") == k).drop("k"), ["n", "block", "value"], "inner")
             near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+            near = attach(near, bags.filter(F.col("k") == k).drop("k"), ["item_id"], "inner")
             common = F.size(F.array_intersect(bag(F.col("window")), F.col("item_bag")))
-            total = F.size("window") + F.size("item_bag")
-            exact = near.withColumn("similarity", common / (total - common)).filter(F.col("similarity") >= similarity)
-            exact = exact.select("doc_id", "item_id", "similarity")
+            exact = near.withColumn("similarity", common / (F.size("window") + F.col("item_n") - common))
+            exact = exact.filter(F.col("similarity") >= similarity).select("doc_id", "item_id", "similarity")
             found = exact if found is None else found.unionAll(exact)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
