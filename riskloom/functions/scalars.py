@@ -204,10 +204,14 @@ def row_missing_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, Column
 
 
 def missing_pattern(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Bit code of the null pattern: column ``i`` adds 2**i when missing."""
+    """Code of the null pattern: column ``i`` adds 2**i when missing.
+
+    Up to 62 columns give a number, more columns the same code as binary digits.
+    """
+    flags = [_null_flag(df.columns, c) for c in columns]
     if len(columns) > 62:
-        raise ValueError("a bit code holds at most 62 columns")
-    return sum((_null_flag(df.columns, c).cast("long") * F.lit(1 << i) for i, c in enumerate(columns)), F.lit(0))
+        return F.concat(*[flag.cast("int").cast("string") for flag in reversed(flags)])
+    return sum((flag.cast("long") * F.lit(1 << i) for i, flag in enumerate(flags)), F.lit(0))
 
 
 def family_signature(families: Mapping[str, Sequence[str]]) -> Column:

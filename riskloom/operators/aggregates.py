@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import col
 from riskloom.operators.joins import lookup_join
-from riskloom.operators.ordered import ROWS_PER_BLOCK
 from riskloom.operators.quantiles import grouped_quantiles
 from riskloom.operators.rows import with_row
 
@@ -104,11 +103,8 @@ def entity_stats(
         "count": F.count(v),
     }
     wanted = {s: simple[s] for s in stats if s != "median"}
-    small = "median" in stats and known.count() <= ROWS_PER_BLOCK
-    if small:
-        wanted["median"] = F.percentile(v.cast("double"), F.lit(0.5))
     out = known.groupBy(key).agg(*[c.alias(f"{prefix}_{s}") for s, c in wanted.items()])
-    if "median" in stats and not small:
+    if "median" in stats:
         out = out.join(grouped_quantiles(known, [key], value, {f"{prefix}_median": 0.5}), key, "left")
     return out.select(key, *[f"{prefix}_{s}" for s in stats])
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import numeric_columns
-from riskloom.operators.aggregates import long_values, value_counts, wide_aggregate
-from riskloom.operators.joins import BROADCAST_ROWS, lookup_join
+from riskloom.operators.aggregates import long_values, wide_aggregate
+from riskloom.operators.joins import lookup_join
 from riskloom.operators.ordered import prefix_sums, with_ordinal
 from riskloom.operators.quality import missing_report
 from riskloom.operators.rows import with_row
@@ -28,45 +30,92 @@ def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Pearson r of all column pairs over rows where both are known.
+def _gram(rows: DataFrame, width: int, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """Pearson r of pairs of positions of the arrays ``v`` over rows where both are known.
 
-    Each row is expanded to its pairs inside the scan stage and reduced there to
-    one buffer per pair, so only pairs are shuffled and the generated code does
-    not grow with the number of columns.
+    Each task sums n, x, y, xx, yy and xy of its rows as products of the value
+    matrix and the matrix of known entries, so the plan does not grow with the
+    number of columns; the sums of the tasks are added per pair.
     """
-    pairs = list(pairs or _pairs(columns))
-    d = lambda c: F.col(c).cast("double")
-    # Both sides are null together, so every statistic sees the same rows.
-    both = lambda a, b, v: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), d(v))
-    rows = F.array(
-        *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), both(a, b, a).alias("x"), both(a, b, b).alias("y")) for a, b in pairs]
-    )
-    return df.select(F.explode(rows).alias("p")).select("p.*").groupBy("left", "right").agg(_r("x", "y").alias("r"))
+    left, right = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(left)))
+        for batch in batches:
+            values = batch.column(0).flatten()
+            known = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+            x = values.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+            counts, products, one, two = known.T @ known, x.T @ x, x.T @ known, (x * x).T @ known
+            total += np.stack((counts[left, right], one[left, right], one[right, left],
+                               two[left, right], two[right, left], products[left, right]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(left), dtype=np.int32)), *[pa.array(t) for t in total]], names=["pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    added = rows.select("v").mapInArrow(sums, "pair int, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy")))
+    added = added.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    # What rounding leaves of a column that does not vary is no variance.
+    spread = lambda c: F.when(mean(c + c) - mean(c) * mean(c) > 1e-13 * mean(c + c), mean(c + c) - mean(c) * mean(c))
+    r = F.try_divide(mean("xy") - mean("x") * mean("y"), F.sqrt(spread("x")) * F.sqrt(spread("y")))
+    return added.select("pair", F.coalesce(r, F.lit(0.0)).alias("r"), F.col("n").cast("long").alias("n"))
+
+
+def _named(found: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    names = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs])
+    return found.withColumn("p", F.get(names, F.col("pair"))).select("p.left", "p.right", "r")
 
 
-def with_ranks(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | None = None) -> DataFrame:
-    """Replace each column by the average rank of its value.
-
-    The rank table has one row per distinct value; it is broadcast only when it
-    is small and otherwise joined with a salt.
-    """
-    n = df.count()
-    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first() if n > BROADCAST_ROWS else {c: n for c in columns}
-    out = df
+def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Pearson r of all column pairs (or of ``pairs``) over rows where both are known; 0 when either does not vary."""
+    pairs = _pairs(columns) if pairs is None else list(pairs)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, r double")
+    used = list(dict.fromkeys(c for pair in pairs for c in pair))
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in used]).first()
+    centred = [F.col(c).cast("double") - F.lit(means[c] if means[c] is not None and math.isfinite(means[c]) else 0.0) for c in used]
+    at = {c: i for i, c in enumerate(used)}
+    return _named(_gram(df.select(F.array(*centred).alias("v")), len(used), [(at[a], at[b]) for a, b in pairs]), pairs)
+
+
+def _mask_classes(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    """Columns that are null in the same rows, class by class; two hashed sums over the nulls tell classes apart."""
+    row = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")
+    marks = df.agg(*[F.struct(F.count_if(F.col(c).isNull()), F.sum(F.when(F.col(c).isNull(), row))).alias(c) for c in columns]).first()
+    classes: dict[tuple, list[str]] = {}
     for c in columns:
-        counts = value_counts(df, [c], kind="double")
-        ranks = value_ranks(counts, F.col("n"), at_most=n, rows_per_block=rows_per_block)
-        mapping = ranks.select(F.col("value").alias(f"__{c}"), F.col("rank").alias(f"__rank_{c}"))
-        staged = out.withColumn(f"__{c}", F.col(c).cast("double"))
-        out = lookup_join(staged, mapping, [f"__{c}"], rows=distinct[c]).withColumn(c, F.col(f"__rank_{c}")).drop(f"__{c}", f"__rank_{c}")
-    return out
+        classes.setdefault(tuple(marks[c]), []).append(c)
+    return list(classes.values())
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | None = None) -> DataFrame:
-    """Pearson r of average ranks over the rows where every column is known."""
-    complete = df.select(*columns).dropna()
-    return pearson_pairs(with_ranks(complete, columns, rows_per_block=rows_per_block), columns)
+    """Pearson r of average ranks, each pair ranked and summed over the rows where both columns are known.
+
+    A rank depends on which rows count, so a column is ranked once for every
+    class of columns that are null in the same rows. All ranks come from one
+    table of value counts and are joined back once.
+    """
+    pairs = _pairs(columns)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, r double")
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    classes = _mask_classes(rows, columns)
+    of = {c: k for k, group in enumerate(classes) for c in group}
+    # (column, class): the column ranked among the rows where the class is known, too.
+    ranked = list(dict.fromkeys(x for a, b in pairs for x in ((a, of[b]), (b, of[a]))))
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.when(F.col(classes[k][0]).isNotNull(), F.col(c)).alias("value"))
+        for i, (c, k) in enumerate(ranked)
+    ])
+    long = rows.select("__id", F.explode(entries).alias("e")).select("__id", "e.*").filter(F.col("value").isNotNull())
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = value_ranks(counts, F.col("n"), rows_per_block=rows_per_block).select("feature", "value", "rank")
+    # Ranks around their middle keep the sums small.
+    middles = ranks.groupBy("feature").agg(F.avg("rank").alias("middle"))
+    ranks = ranks.join(F.broadcast(middles), "feature").select("feature", "value", (F.col("rank") - F.col("middle")).alias("rank"))
+    back = long.join(ranks, ["feature", "value"]).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("m"))
+    wide = back.select(F.transform(F.sequence(F.lit(0), F.lit(len(ranked) - 1)), lambda i: F.element_at("m", i)).alias("v"))
+    at = {x: i for i, x in enumerate(ranked)}
+    return _named(_gram(wide, len(ranked), [(at[a, of[b]], at[b, of[a]]) for a, b in pairs]), pairs)
 
 
 def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, rows_per_block: int | None = None) -> DataFrame:
@@ -107,7 +156,7 @@ def _kendall(df: DataFrame, x: str, y: str, rows_per_block: int | None) -> DataF
     )
     running = prefix_sums(
         sides, ["bit", "prefix"], ["y"], {"lo_before": F.col("lo"), "hi_before": F.col("hi")},
-        inclusive=False, rows_per_block=rows_per_block, materialize=True,
+        inclusive=False, rows_per_block=rows_per_block,
     )
     d = lambda c: F.col(c).cast("double")
     # A pair with the lower half at smaller y is concordant, at larger y discordant.
@@ -189,12 +238,16 @@ def correlation_pruning(df: DataFrame, pairs: DataFrame, mi: DataFrame, columns:
 
 
 def redundancy(df: DataFrame, columns: Sequence[str], limit: float = 0.85, method: str = "pearson") -> DataFrame:
-    """Redundant pairs on complete rows."""
-    if method not in ("pearson", "spearman"):
+    """Redundant pairs on complete rows, by Pearson, Spearman or either of them."""
+    if method not in ("pearson", "spearman", "either"):
         raise ValueError(f"unknown method {method!r}")
     complete = df.select(*columns).dropna()
-    pairs = pearson_pairs(complete, columns) if method == "pearson" else spearman_pairs(complete, columns)
-    return pairs.filter(F.abs("r") > limit)
+    found = [f(complete, columns) for name, f in (("pearson", pearson_pairs), ("spearman", spearman_pairs)) if method in (name, "either")]
+    if len(found) == 1:
+        return found[0].filter(F.abs("r") > limit)
+    # The stronger of the two decides, and is reported.
+    both = found[0].unionByName(found[1]).groupBy("left", "right").agg(F.max_by("r", F.abs("r")).alias("r"))
+    return both.filter(F.abs("r") > limit)
 
 
 def correlation_inventory(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -177,8 +177,7 @@ def ks_by_side(df: DataFrame, columns: Sequence[str], side: str, *, rows_per_blo
     """
     counts = sided_value_counts(df, columns, side)
     running = prefix_sums(
-        counts, ["feature"], ["value"], {"c0": F.col("n0"), "c1": F.col("n1")},
-        rows_per_block=rows_per_block, materialize=True, at_most=df.count() * len(columns),
+        counts, ["feature"], ["value"], {"c0": F.col("n0"), "c1": F.col("n1")}, rows_per_block=rows_per_block
     )
     totals = counts.groupBy("feature").agg(F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
     gap = F.abs(F.try_divide(F.col("c0"), F.col("m0")) - F.try_divide(F.col("c1"), F.col("m1")))

@@ -7,7 +7,6 @@ the train frame only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +14,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import col
 from riskloom.operators.joins import lookup_join
-from riskloom.operators.ordered import ROWS_PER_BLOCK, prefix_sums, with_ordinal
+from riskloom.operators.ordered import prefix_sums, with_ordinal
 from riskloom.operators.rows import with_row
-from riskloom.session import cut_lineage
 
 NULL_NAME = "nan"
 
@@ -36,30 +34,10 @@ def _apply(df: DataFrame, column: str, mapping: DataFrame, defaults: dict[str, C
 def fit_label(df: DataFrame, column: str, *, rows_per_block: int | None = None) -> DataFrame:
     """Codes 0..k-1 in sorted order of the known values."""
     values = df.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-    ranked = _string_ordinal(values, "value", "code", rows_per_block or ROWS_PER_BLOCK)
+    ranked = with_ordinal(values, ["value"], "code", rows_per_block=rows_per_block)
     return ranked.select("value", F.col("code").cast("int").alias(f"{column}_label"))
 
 
-def _string_ordinal(values: DataFrame, column: str, out: str, limit: int) -> DataFrame:
-    """Zero-based rank of distinct strings.
-
-    Many values are range-partitioned first and kept in the checkpoint folder;
-    a rank is then the position within a range plus the sizes of the ranges
-    before it.
-    """
-    n = values.count()
-    if n <= limit:
-        return values.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
-    ranged = cut_lineage(values.repartitionByRange(2 * math.ceil(n / limit), column)).withColumn("__b", F.spark_partition_id())
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-        .select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    )
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
-    return ranged.withColumn("__i", inner).join(offsets, "__b").select(column, (F.col("__i") + F.col("__o")).alias(out))
-
-
 def transform_label(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return _apply(df, column, mapping, {f"{column}_label": F.lit(-1)}, F.col(column).cast("string"))
 

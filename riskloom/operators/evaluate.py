@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.binning import bin_index
@@ -33,8 +33,7 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), *, rows_per_block: int
     keys = list(keys)
     counts = df.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("__down", -F.col("p"))
     running = prefix_sums(
-        counts, keys, ["__down"], {"tp": F.col("pos"), "fp": F.col("neg")},
-        rows_per_block=rows_per_block, materialize=True, at_most=df.count(),
+        counts, keys, ["__down"], {"tp": F.col("pos"), "fp": F.col("neg")}, rows_per_block=rows_per_block
     ).drop("__down")
     totals = df.groupBy(*keys).agg(F.sum("y").alias("all_pos"), F.sum(1 - F.col("y")).alias("all_neg"))
     # One row per scorer.
@@ -137,8 +136,9 @@ def lift_gain(df: DataFrame, ties: Sequence[str], deciles: int = 10, *, rows_per
     decile = F.greatest(F.lit(1).cast("long"), F.floor((F.col("__i") * deciles + (step - 1)) / step))
     cells = ranked.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
     totals = cells.agg(F.sum("n").alias("all_n"), F.sum("positives").alias("all_p"))
-    # Ten rows.
-    running = prefix_sums(cells, [], ["decile"], {"cum": F.col("positives")}, at_most=deciles)
+    # One row per decile.
+    upto = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = cells.withColumn("cum", F.sum("positives").over(upto))
     return running.transform(with_row, totals).select(
         "decile", "n", "positives", safe_divide("cum", "all_p").alias("cumulative_gain"),
         safe_divide(safe_divide("positives", "n"), safe_divide("all_p", "all_n")).alias("lift"),

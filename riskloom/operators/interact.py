@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.bands import classify
 from riskloom.operators.correlation import pearson_pairs
 from riskloom.operators.drift import CELLS, divergence, side_counts, two_sided
-from riskloom.operators.rows import with_row
+from riskloom.operators.rows import largest, with_row
 from riskloom.operators.stats import _plug_in_mi, bin_columns
 
 PAIR = ["left", "right"]
@@ -46,7 +46,7 @@ def _names(columns: Sequence[str]) -> dict[str, str]:
 
 def pair_cells(df: DataFrame, columns: Sequence[str], target: str, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``(left, right, cell, n, positives)`` of every pair in one grouped count."""
-    pairs = list(pairs or pairs_of(columns))
+    pairs = pairs_of(columns) if pairs is None else list(pairs)
     binned = _binned(df, columns, [F.col(target).alias("y")])
     return (
         binned.select("y", F.explode(_pair_rows(_names(columns), pairs)).alias("p")).select("y", "p.*")
@@ -114,8 +114,8 @@ def triple_hotspots(df: DataFrame, columns: Sequence[str], target: str, support:
     return _hot(cells, keys, df, target, support)
 
 
-def cell_odds(df: DataFrame, columns: Sequence[str], target: str, support: int = 10, top: int = 40) -> DataFrame:
-    """Odds ratio (plus one half in every cell) and lift of the ``top`` cells by lift."""
+def cell_odds(df: DataFrame, columns: Sequence[str], target: str, support: int = 10, top: int | None = None) -> DataFrame:
+    """Odds ratio (plus one half in every cell) and lift of all cells, or of the ``top`` by lift."""
     cells = pair_cells(df, columns, target).filter(F.col("n") >= support)
     overall = df.agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("rows"))
     a = F.col("positives") + 0.5
@@ -127,7 +127,7 @@ def cell_odds(df: DataFrame, columns: Sequence[str], target: str, support: int =
         *PAIR, "cell", "positives", (F.col("n") - F.col("positives")).alias("negatives"), rate.alias("rate"),
         F.coalesce(F.try_divide(rate * F.col("rows"), F.col("p")), F.lit(1.0)).alias("lift"), ((a / b) / (c / d)).alias("odds_ratio"),
     )
-    return out.orderBy(F.col("lift").desc(), *PAIR, "cell").limit(top)
+    return largest(out, [F.col("lift").desc(), *PAIR, "cell"], top)
 
 
 def interaction_strength(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -149,9 +149,9 @@ def interaction_strength(df: DataFrame, columns: Sequence[str], target: str) ->
     return joint.join(left, "left").join(right, "right").withColumn("strength", F.col("joint_mi") - F.col("left_mi") - F.col("right_mi"))
 
 
-def recommended_interactions(strength: DataFrame, k: int = 10) -> DataFrame:
-    """A product and a ratio of the strongest pairs."""
-    top = strength.orderBy(F.col("strength").desc(), *PAIR).limit(k)
+def recommended_interactions(strength: DataFrame, k: int | None = None) -> DataFrame:
+    """A product and a ratio of every pair, or of the ``k`` strongest."""
+    top = largest(strength, [F.col("strength").desc(), *PAIR], k)
     recipes = F.array(
         F.concat(F.lit("Product: "), F.col("left"), F.lit(" * "), F.col("right")),
         F.concat(F.lit("Ratio: "), F.col("left"), F.lit(" / ("), F.col("right"), F.lit(" + 1e-5)")),
@@ -181,9 +181,9 @@ def production_screen(train: DataFrame, stability: DataFrame, columns: Sequence[
     return stability.join(sparse, PAIR).select(*PAIR, "psi", "sparse_pct", action.alias("action"))
 
 
-def interaction_inventory(df: DataFrame, columns: Sequence[str], mi: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` most informative candidates with their distinct values."""
+def interaction_inventory(df: DataFrame, columns: Sequence[str], mi: DataFrame, k: int | None = None) -> DataFrame:
+    """Candidates with their distinct values: all, or the ``k`` most informative."""
     seen = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_unique")) for c in columns])
     long = seen.select(F.explode(rows).alias("r")).select("r.*")
-    return long.join(mi, "feature").filter("n_unique > 1").orderBy(F.col("mi").desc(), "feature").limit(k)
+    return largest(long.join(mi, "feature").filter("n_unique > 1"), [F.col("mi").desc(), "feature"], k)

@@ -19,6 +19,7 @@ from riskloom.functions.scalars import finite
 from riskloom.operators import aggregates, encode
 from riskloom.operators.evaluate import curve_metrics, score_curve, threshold_metrics
 from riskloom.operators.ordered import with_ordinal
+from riskloom.operators.sets import bootstrap, stack
 from riskloom.session import cut_lineage
 
 LABEL = "y"
@@ -217,16 +218,17 @@ def shuffled_copy(df: DataFrame, columns: Sequence[str], ids: Sequence[str], see
 def permutation_importance(df: DataFrame, features: Sequence[str], ids: Sequence[str], repeats: int = 3) -> DataFrame:
     """Loss of AUC when one column is shuffled, averaged over repeats.
 
-    One shuffled copy per repeat serves all columns, and one job evaluates them.
+    One shuffled copy per repeat serves all columns, and one curve job with the
+    swapped column as its key evaluates them.
     """
     model = fit_forest(df, features, trees=30)
     base = auc(score(model, df, features))
     sums = {f: 0.0 for f in features}
     for r in range(repeats):
         shuffled = cut_lineage(shuffled_copy(df.select("y", *ids, *[f for f in features if f not in ids]), features, ids, SEED + r))
-        for f in features:
-            swapped = shuffled.withColumn(f, F.col(f"shadow_{f}"))
-            sums[f] += base - auc(score(model, swapped, features))
+        scored = stack({f: score(model, shuffled.withColumn(f, F.col(f"shadow_{f}")), features).select("y", "p") for f in features}, "feature")
+        for row in curve_metrics(score_curve(scored, ["feature"]), ["feature"]).select("feature", "roc_auc").collect():
+            sums[row["feature"]] += base - row["roc_auc"]
     rows = [(f, s / repeats) for f, s in sums.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
 
@@ -256,7 +258,7 @@ def shadow_selection(df: DataFrame, features: Sequence[str], ids: Sequence[str],
     hits = {f: 0 for f in features}
     shadows = [f"shadow_{f}" for f in features]
     for r in range(rounds):
-        both = shuffled_copy(df.select("y", *ids, *[f for f in features if f not in ids]), features, ids, SEED + r)
+        both = cut_lineage(shuffled_copy(df.select("y", *ids, *[f for f in features if f not in ids]), features, ids, SEED + r))
         forest = fit_forest(both, [*features, *shadows], trees=20, depth=5).stages[-1]
         values = forest.featureImportances.toArray()
         bar = max(values[len(features) :])
@@ -266,13 +268,11 @@ def shadow_selection(df: DataFrame, features: Sequence[str], ids: Sequence[str],
     return df.sparkSession.createDataFrame(rows, "feature string, hit_rate double, keep boolean")
 
 
-def importance_stability(df: DataFrame, features: Sequence[str], rounds: int = 5) -> DataFrame:
+def importance_stability(df: DataFrame, features: Sequence[str], ids: Sequence[str], rounds: int = 5) -> DataFrame:
     """Mean and spread of forest importance over bootstrap samples."""
-    from riskloom.operators.sets import bootstrap
-
     rows = []
     for r in range(rounds):
-        forest = fit_forest(bootstrap(df, SEED + r), features, trees=20, depth=5).stages[-1]
+        forest = fit_forest(bootstrap(df, ids, SEED + r), features, trees=20, depth=5).stages[-1]
         rows += [(f, float(v)) for f, v in zip(features, forest.featureImportances.toArray())]
     runs = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return runs.groupBy("feature").agg(F.avg("importance").alias("mean_importance"), F.stddev_pop("importance").alias("std_importance"))

@@ -1,20 +1,17 @@
 """Ordered computations that never put an unbounded group into one task.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one
-task, and a window without a key sends the whole table there.  Both are fine
-while the row count is known to be small.  Beyond ``rows_per_block`` rows the
-functions here cut the order into blocks:
-
-1. approximate quantiles of the leading order column give the cut points
-   (a short array, one pass over one column);
-2. rows of hot keys are labelled with their block, so a window runs per
-   (key, block); other keys keep a single block;
-3. what a block needs from the blocks before it is a total (for running sums)
-   or its last ``k`` rows (for trailing frames).  Both tables hold a few rows
-   per block and are joined back on the same (key, block) clustering.
-
-The cut points only balance the work; they never change a result, because the
-block number is a monotone function of the order columns.
+task, and a window without a key sends the whole table there. Here the rows are
+range-partitioned by keys and order columns together, so a hot key, or a table
+without a key, is cut into as many ranges as its rows need. What a range needs
+from the ranges before it is a total (for running sums) or the last ``k`` rows
+(for trailing frames). Ranges follow each other in the order, so each range has
+at most one key that began in an earlier one, and both tables hold a few rows
+per range.
+
+The ranges only balance the work and never change a result. Spark's own order
+decides, so nulls, NaN, infinities, texts and ties need no special case; rows
+that are equal in all order columns follow each other in any order.
 """
 
 from __future__ import annotations
@@ -22,78 +19,39 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riskloom.session import cut_lineage
 
-ROWS_PER_BLOCK = 4_000_000
-MAX_BLOCKS = 4096
-MAX_HOT_KEYS = 100_000
+_RANGE = "__range"
 
-_B1, _B2 = "__block", "__subblock"
 
+def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int | None) -> DataFrame:
+    """``df`` dealt to ranges and written to the checkpoint folder, with the number of each row's range.
 
-def _cuts(df: DataFrame, column: str, parts: int) -> list[float]:
-    probs = [i / parts for i in range(1, parts)]
-    return df.select(F.col(column).cast("double").alias("v")).approxQuantile(
-        "v", probs, 1.0 / (4 * parts)
-    )
-
-
-def _bucket(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Index of the half-open interval of ``column``; nulls sort first."""
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    lead = "__lead"
-    staged = df.withColumn(lead, F.col(column).cast("double"))
-    staged = Bucketizer(
-        splits=splits, inputCol=lead, outputCol=out, handleInvalid="keep"
-    ).transform(staged)
-    index = F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.col(out).cast("int"))
-    return staged.withColumn(out, index).drop(lead)
-
-
-def _with_blocks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, n: int
-) -> DataFrame:
-    parts = max(2, min(MAX_BLOCKS, math.ceil(n / rows)))
-    cuts = _cuts(df, order[0], parts)
-    out = _bucket(df, order[0], cuts, _B1)
-    # One order value may itself hold more rows than a block: its cut point
-    # repeats. Such values are cut again along the second order column.
-    heavy = sorted({c for c in cuts if cuts.count(c) > 1})
-    if heavy and len(order) > 1:
-        is_heavy = F.col(order[0]).cast("double").isin(heavy)
-        sub = _cuts(df.filter(is_heavy), order[1], parts)
-        out = _bucket(out, order[1], sub, _B2)
-        out = out.withColumn(_B2, F.when(is_heavy, F.col(_B2)).otherwise(len(sub) + 2))
+    Spark chooses the number of ranges; ``rows_per_block`` asks for ranges of
+    about so many rows.
+    """
+    columns = [F.col(c).asc() for c in (*keys, *order)]
+    if rows_per_block:
+        ranged = df.repartitionByRange(max(1, math.ceil(df.count() / rows_per_block)), *columns)
     else:
-        out = out.withColumn(_B2, F.lit(0))
-    if not keys:
-        return out
-    hot_rows = max(rows, n // MAX_HOT_KEYS)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    # At most n / hot_rows <= MAX_HOT_KEYS keys can pass the filter.
-    out = out.join(F.broadcast(hot), list(keys), "left")
-    cold = F.col("__hot").isNull()
-    return out.withColumns(
-        {
-            _B1: F.when(cold, F.lit(-2)).otherwise(F.col(_B1)),
-            _B2: F.when(cold, F.lit(0)).otherwise(F.col(_B2)),
-        }
-    ).drop("__hot")
+        ranged = df.repartitionByRange(*columns)
+    return cut_lineage(ranged.withColumn(_RANGE, F.spark_partition_id()))
 
 
 def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in order]
 
 
+def _beside(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join a table of a few rows per range on keys that may be null."""
+    renamed = F.broadcast(side.withColumnsRenamed({k: f"__k_{k}" for k in keys}))
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return rows.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -102,59 +60,25 @@ def prefix_sums(
     *,
     inclusive: bool = True,
     rows_per_block: int | None = None,
-    materialize: bool = False,
-    at_most: int | None = None,
 ) -> DataFrame:
-    """Add running sums along ``order`` within ``keys`` (all rows when empty).
-
-    ``keys`` must not hold nulls and ``order`` must be numeric and give a total
-    order.  ``materialize`` writes ``df`` to the checkpoint folder first; use
-    it when ``df`` is the result of a shuffle and will be scanned repeatedly.
-    ``at_most`` is an upper bound of the row count where the caller has one: a
-    small bound saves the counting job.
-    """
-    rows = rows_per_block or ROWS_PER_BLOCK
-    small = at_most is not None and at_most <= rows
-    if materialize and not small:
-        df = cut_lineage(df)
-    n = at_most if small else df.count()
-    end = Window.currentRow if inclusive else -1
-    if n <= rows:
-        spec = (
-            Window.partitionBy(*keys)
-            .orderBy(*_order(order))
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        return df.withColumns(
-            {name: F.coalesce(F.sum(e).over(spec), F.lit(0)) for name, e in sums.items()}
-        )
-    groups = [*keys, _B1, _B2]
-    staged = _with_blocks(df, keys, order, rows, n).withColumns(
-        {f"__x_{name}": e for name, e in sums.items()}
+    """Add running sums along ``order`` within ``keys`` (all rows when empty)."""
+    ranged = _ranges(df, keys, order, rows_per_block).withColumns({f"__x_{name}": e for name, e in sums.items()})
+    groups = [*keys, _RANGE]
+    totals = ranged.groupBy(*groups).agg(*[F.sum(f"__x_{name}").alias(f"__t_{name}") for name in sums], F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        totals.withColumns({f"__o_{name}": F.sum(f"__t_{name}").over(before) for name in sums} | {"__rows": F.sum("__rows").over(before)})
+        .filter(F.col("__rows").isNotNull()).select(*groups, *[f"__o_{name}" for name in sums])
     )
     local = (
-        Window.partitionBy(*groups)
-        .orderBy(*_order(order))
-        .rowsBetween(Window.unboundedPreceding, end)
+        Window.partitionBy(*groups).orderBy(*_order(order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(_B1, _B2).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        staged.filter(F.col(_B1) != -2)
-        .groupBy(*groups)
-        .agg(*[F.sum(f"__x_{name}").alias(f"__t_{name}") for name in sums])
-        .withColumns({f"__o_{name}": F.sum(f"__t_{name}").over(before) for name in sums})
-        .select(*groups, *[f"__o_{name}" for name in sums])
-    )
-    out = staged.withColumns({f"__l_{name}": F.sum(f"__x_{name}").over(local) for name in sums})
-    out = out.join(offsets, groups, "left")
     zero = F.lit(0)
+    out = ranged.withColumns({f"__l_{name}": F.sum(f"__x_{name}").over(local) for name in sums})
+    out = _beside(out, offsets, groups, "left")
     out = out.withColumns(
-        {
-            name: F.coalesce(F.col(f"__l_{name}"), zero) + F.coalesce(F.col(f"__o_{name}"), zero)
-            for name in sums
-        }
+        {name: F.coalesce(F.col(f"__l_{name}"), zero) + F.coalesce(F.col(f"__o_{name}"), zero) for name in sums}
     )
     return out.select(*df.columns, *sums)
 
@@ -173,22 +97,16 @@ def trailing(
     Each entry of ``columns`` maps the ordered window (without a frame) to a
     column, for instance ``lambda w: F.avg("x").over(w.rowsBetween(-5, -1))``.
     """
-    rows = rows_per_block or ROWS_PER_BLOCK
-    n = df.count()
-    if n <= rows:
-        spec = Window.partitionBy(*keys).orderBy(*_order(order))
-        return df.withColumns({name: make(spec) for name, make in columns.items()})
-    groups = [*keys, _B1, _B2]
-    staged = _with_blocks(df, keys, order, rows, n)
+    ranged = _ranges(df, keys, order, rows_per_block)
+    groups = [*keys, _RANGE]
+    # Keys of more than one range: at most one for each end of a range.
+    wide = ranged.groupBy(*keys).agg(F.min(_RANGE).alias("__first"), F.max(_RANGE).alias("__last"))
+    wide = wide.filter("__first < __last").drop("__first", "__last") if keys else None
+    spread = _beside(ranged, wide, keys, "left_semi") if keys else ranged
     newest = Window.partitionBy(*groups).orderBy(*[F.col(c).desc() for c in order])
-    tails = (
-        staged.filter(F.col(_B1) != -2)
-        .withColumn("__r", F.row_number().over(newest))
-        .filter(F.col("__r") <= k)
-        .drop("__r")
-    )
-    # At most k rows per block are left, so this window per key is bounded.
-    along = Window.partitionBy(*keys).orderBy(_B1, _B2, *_order(order))
+    tails = spread.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= k).drop("__r")
+    # At most k rows per range are left, so this window per key is bounded.
+    along = Window.partitionBy(*keys).orderBy(_RANGE, *_order(order))
     first = Window.partitionBy(*groups).orderBy(*_order(order))
     others = [c for c in df.columns if c not in keys]
     context = (
@@ -202,10 +120,9 @@ def trailing(
         .select(*groups, F.explode("__ctx").alias("__c"))
         .select(*groups, *[F.col("__c")[c].alias(c) for c in others])
     )
-    both = staged.withColumn("__is_ctx", F.lit(False)).unionByName(
-        context.withColumn("__is_ctx", F.lit(True))
-    )
-    spec = Window.partitionBy(*groups).orderBy(*_order(order))
+    both = ranged.withColumn("__is_ctx", F.lit(False)).unionByName(context.withColumn("__is_ctx", F.lit(True)))
+    # Context rows come first, also where they tie with the range's own rows.
+    spec = Window.partitionBy(*groups).orderBy(F.col("__is_ctx").desc(), *_order(order))
     out = both.withColumns({name: make(spec) for name, make in columns.items()})
     return out.filter(~F.col("__is_ctx")).select(*df.columns, *columns)
 

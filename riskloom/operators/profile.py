@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import numeric_columns, string_columns
 from riskloom.operators.aggregates import long_values, value_counts, wide_aggregate
+from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quality import dominance_report, missing_report
 from riskloom.operators.quantiles import exact_quantiles
-from riskloom.operators.rows import with_row
+from riskloom.operators.rows import largest, with_row
 
 
 def corrected_skewness(g1, n):
@@ -237,17 +238,47 @@ def feature_dictionary(cardinality: DataFrame, missing: DataFrame, advice: DataF
 # --- categorical views ------------------------------------------------------------
 
 
-def rare_categories(df: DataFrame, columns: Sequence[str], limit: float = 0.01) -> DataFrame:
-    """Categories below ``limit`` of the known rows: how many, their rows, the ten largest names."""
+def category_frequencies(df: DataFrame, columns: Sequence[str], *, rows_per_block: int | None = None) -> DataFrame:
+    """Every known category with its count, percent, cumulative percent and rank from the most frequent.
+
+    Categories of equal count follow each other in their own order.
+    """
+    counts = value_counts(df, columns).withColumn("__down", -F.col("n"))
+    ranked = prefix_sums(
+        counts, ["feature"], ["__down", "value"], {"upto": F.col("n"), "rank": F.lit(1)}, rows_per_block=rows_per_block
+    )
+    # One row per column.
+    totals = F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("total")))
+    return ranked.join(totals, "feature").select(
+        "feature", F.col("value").alias("category"), "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"),
+        (F.col("upto") * 100.0 / F.col("total")).alias("cumulative_pct"), F.col("rank").cast("long").alias("rank"),
+    )
+
+
+def categorical_inventory(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Categories, missing count and percent, and the dominant category with its percent of the known rows."""
+    counts = long_values(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("value").isNotNull()
+    n_known, gone = F.sum(F.when(known, F.col("n")).otherwise(0)), F.sum(F.when(known, 0).otherwise(F.col("n")))
+    top = F.struct(-F.col("n"), F.col("value"))
+    return counts.groupBy("feature").agg(
+        F.count_if(known).alias("n_categories"), gone.alias("missing_count"), (gone * 100.0 / F.sum("n")).alias("missing_pct"),
+        F.min_by("value", F.when(known, top)).alias("dominant_category"),
+        (F.max(F.when(known, F.col("n"))) * 100.0 / n_known).alias("dominant_pct"),
+    )
+
+
+def rare_categories(df: DataFrame, columns: Sequence[str], limit: float = 0.01, examples: int = 10) -> DataFrame:
+    """Categories below ``limit`` of the known rows: how many, their rows, and names of the largest as ``examples``."""
     counts = value_counts(df, columns)
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     rare = counts.join(F.broadcast(totals), "feature").filter(F.col("n") < F.col("total") * limit)
-    # A row_number limit is applied before the shuffle too, so at most ten names
-    # per feature and task are ever kept.
+    # A row_number limit is applied before the shuffle too, so at most that many
+    # names per feature and task are ever kept.
     first = Window.partitionBy("feature").orderBy(F.col("n").desc(), "value")
     names = (
         rare.withColumn("__r", F.row_number().over(first))
-        .filter("__r <= 10")
+        .filter(F.col("__r") <= examples)
         .groupBy("feature")
         .agg(F.array_sort(F.collect_list(F.struct("__r", "value"))).alias("names"))
     )
@@ -308,18 +339,17 @@ def encoding_choice(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.withColumn("strategy", classify("encoding_strategy", "n_unique"))
 
 
-def candidate_columns(stats: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` numeric columns with the largest variance and more than one value."""
-    return (
-        stats.filter((F.col("n_unique") > 1) & F.col("variance").isNotNull())
-        .orderBy(F.col("variance").desc(), "feature").limit(k).select("feature", "variance", "n_unique")
-    )
+def candidate_columns(stats: DataFrame, k: int | None = None) -> DataFrame:
+    """Numeric columns with more than one value: all, or the ``k`` with the largest variance."""
+    varied = stats.filter((F.col("n_unique") > 1) & F.col("variance").isNotNull())
+    return largest(varied, [F.col("variance").desc(), "feature"], k).select("feature", "variance", "n_unique")
 
 
-def candidate_categoricals(cardinality: DataFrame, texts: Sequence[str], k: int = 8) -> DataFrame:
-    return (
-        cardinality.filter(F.col("feature").isin(list(texts)) & F.col("n_unique").between(2, 29))
-        .orderBy("n_unique", "feature").limit(k).select("feature", "n_unique")
-    )
+def candidate_categoricals(
+    cardinality: DataFrame, texts: Sequence[str], k: int | None = None, values: tuple[int, int] = (2, 29)
+) -> DataFrame:
+    """Text columns whose number of distinct values lies in ``values``: all, or the ``k`` with the fewest."""
+    chosen = cardinality.filter(F.col("feature").isin(list(texts)) & F.col("n_unique").between(*values))
+    return largest(chosen, ["n_unique", "feature"], k).select("feature", "n_unique")
 
 

@@ -1,32 +1,22 @@
 """Exact quantiles with linear interpolation, without a per-group value map.
 
 Spark's ``percentile`` is exact but keeps every distinct value of a group in
-one buffer.  It is used here only when the row count is known to be small.
-Larger inputs are narrowed first: approximate cut points split each column into
-blocks, one aggregate counts rows per block, and only the blocks that hold a
-wanted rank are sorted.
+one buffer. Here values are counted, ranked by running sums over ranges of the
+order, and only the values at the wanted ranks are picked.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordered import MAX_BLOCKS, ROWS_PER_BLOCK, prefix_sums
+from riskloom.operators.ordered import prefix_sums
 
 Quantiles = dict[str, list[float | None]]
 
 
-def _interpolate(n: int, p: float) -> tuple[int, int, float]:
-    position = p * (n - 1)
-    low = math.floor(position)
-    return low, math.ceil(position), position - low
-
-
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -34,87 +24,18 @@ def exact_quantiles(
     *,
     rows_per_block: int | None = None,
 ) -> Quantiles:
-    """Quantiles of several numeric columns: one list per column, nulls ignored."""
-    limit = rows_per_block or ROWS_PER_BLOCK
-    n = df.count()
-    # One buffer holds the values of all columns, so their number counts too.
-    if n * len(columns) <= limit:
-        row = df.agg(
-            *[
-                F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                for c in columns
-            ]
-        ).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in columns}
-    parts = max(2, min(MAX_BLOCKS, math.ceil(n * len(columns) / limit) * 4))
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    cuts = wide.approxQuantile(list(columns), [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    blocked = Bucketizer(
-        inputCols=list(columns),
-        outputCols=[f"__b_{c}" for c in columns],
-        splitsArray=[[-math.inf, *sorted(set(c)), math.inf] for c in cuts],
-        handleInvalid="keep",
-    ).transform(wide)
-    long = blocked.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("feature"),
-                        F.col(f"__b_{c}").cast("int").alias("block"),
-                        F.col(c).alias("value"),
-                    )
-                    for c in columns
-                ]
-            )
-        ).alias("r")
-    ).select("r.*").filter(F.col("value").isNotNull())
-    # columns x blocks rows: a bounded summary.
-    counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
-    for r in long.groupBy("feature", "block").count().collect():
-        counts[r["feature"]].append((r["block"], r["count"]))
-    wanted = []
-    for c in columns:
-        total = sum(k for _, k in counts[c])
-        ranks = {r for p in probs for r in _interpolate(total, p)[:2]} if total else set()
-        start = 0
-        for block, size in sorted(counts[c]):
-            wanted += [(c, block, start, r) for r in sorted(ranks) if start <= r < start + size]
-            start += size
-    spark = df.sparkSession
-    targets = spark.createDataFrame(wanted, "feature string, block int, start long, rank long")
-    blocks = targets.select("feature", "block").distinct()
-    cumulative = (
-        Window.partitionBy("feature", "block")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hits = (
-        long.join(F.broadcast(blocks), ["feature", "block"])
-        .groupBy("feature", "block", "value")
-        .count()
-        .withColumn("upto", F.sum("count").over(cumulative))
-        .join(F.broadcast(targets), ["feature", "block"])
-        .filter(
-            (F.col("rank") >= F.col("start") + F.col("upto") - F.col("count"))
-            & (F.col("rank") < F.col("start") + F.col("upto"))
-        )
-        .select("feature", "rank", "value")
-        .collect()
-    )
-    at = {(r["feature"], r["rank"]): r["value"] for r in hits}
-    out: Quantiles = {}
-    for c in columns:
-        total = sum(k for _, k in counts[c])
-        values: list[float | None] = []
-        for p in probs:
-            if not total:
-                values.append(None)
-                continue
-            low, high, share = _interpolate(total, p)
-            values.append(at[c, low] + (at[c, high] - at[c, low]) * share)
-        out[c] = values
-    return out
+    """Quantiles of several numeric columns: one list per column, nulls ignored; nulls where all values are."""
+    entry = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+    long = df.select(F.explode(F.array(*[entry(c) for c in columns])).alias("r")).select("r.*")
+    named = {f"q{i}": p for i, p in enumerate(probs)}
+    rows = grouped_quantiles(long, ["feature"], "value", named, rows_per_block=rows_per_block).collect()
+    found = {r["feature"]: [r[name] for name in named] for r in rows}
+    return {c: found.get(c, [None] * len(named)) for c in columns}
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation that stays exact at its ends, also where they are infinite."""
+    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
 
 
 def grouped_quantiles(
@@ -125,41 +46,23 @@ def grouped_quantiles(
     *,
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per key, one row per key.
-
-    The large form works on value counts, so a hot key is spread over blocks.
-    """
-    limit = rows_per_block or ROWS_PER_BLOCK
-    df = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    if df.count() <= limit:
-        return df.groupBy(*keys).agg(
-            *[F.percentile("__v", F.lit(float(p))).alias(name) for name, p in named_probs.items()]
-        )
-    counts = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = prefix_sums(
-        counts,
-        keys,
-        ["__v"],
-        {"__start": F.col("__c")},
-        inclusive=False,
-        rows_per_block=rows_per_block,
-        materialize=True,
-    )
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ranked.join(totals, list(keys))
-    here = F.lit(None)
+    """Exact quantiles of ``value`` per key, one row per key with a known value."""
+    keys = list(keys)
+    known = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    counts = known.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = prefix_sums(counts, keys, ["__v"], {"__start": F.col("__c")}, inclusive=False, rows_per_block=rows_per_block)
+    end = F.col("__start") + F.col("__c")
+    totals = ranked.groupBy(*keys).agg(F.max(end).alias("__n")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    ranked = ranked.join(totals, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     aggs = []
     for i, p in enumerate(named_probs.values()):
         position = F.lit(float(p)) * (F.col("__n") - 1)
         for tag, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            inside = (F.col("__start") <= rank) & (rank < F.col("__start") + F.col("__c"))
-            aggs.append(F.max(F.when(inside, F.col("__v")).otherwise(here)).alias(f"__{tag}{i}"))
+            inside = (F.col("__start") <= rank) & (rank < end)
+            aggs.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{tag}{i}"))
         aggs.append(F.max(position - F.floor(position)).alias(f"__w{i}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
     return picked.select(
         *keys,
-        *[
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__w{i}")).alias(name)
-            for i, name in enumerate(named_probs)
-        ],
+        *[_between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__w{i}")).alias(name) for i, name in enumerate(named_probs)],
     )

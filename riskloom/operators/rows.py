@@ -1,11 +1,18 @@
-"""Attach the columns of a one-row table to every row."""
+"""One-row tables and first rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def largest(df: DataFrame, order: Sequence[Column | str], k: int | None) -> DataFrame:
+    """The first ``k`` rows along ``order``; all rows, in any order, without ``k``."""
+    return df if k is None else df.orderBy(*order).limit(k)
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of ``row`` as a scalar subquery.
 

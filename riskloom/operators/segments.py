@@ -14,7 +14,7 @@ from riskloom.functions.scalars import col, completeness
 from riskloom.operators.aggregates import long_values
 from riskloom.operators.quality import missing_report
 from riskloom.operators.quantiles import exact_quantiles
-from riskloom.operators.rows import with_row
+from riskloom.operators.rows import largest, with_row
 
 
 def _need(df: DataFrame, *columns: str) -> None:
@@ -89,10 +89,10 @@ def rates_by_sets(df: DataFrame, sets: Mapping[str, Sequence[str]], target: str,
     return with_risk(grouped.filter(tests).withColumn("grouping", names), df, target).drop("__gid")
 
 
-def risk_profiles(df: DataFrame, keys: Sequence[str], target: str, k: int = 100) -> DataFrame:
-    """The ``k`` largest segments with a risk label."""
+def risk_profiles(df: DataFrame, keys: Sequence[str], target: str, k: int | None = None) -> DataFrame:
+    """All segments, or the ``k`` largest, with a risk label."""
     rates = segment_rates(df, keys, target)
-    return rates.withColumn("risk", classify("risk_label", "rate_pct")).orderBy(F.col("total").desc(), *keys).limit(k)
+    return largest(rates.withColumn("risk", classify("risk_label", "rate_pct")), [F.col("total").desc(), *keys], k)
 
 
 # --- label ----------------------------------------------------------------------
@@ -135,17 +135,16 @@ def missing_vs_target(df: DataFrame, columns: Sequence[str], target: str) -> Dat
     return one.withColumns({"missing_rate": a, "available_rate": b, "difference": a - b, "relative_risk": risk})
 
 
-def identity_rates(df: DataFrame, columns: Sequence[str], target: str, top: int = 20) -> DataFrame:
-    """Missing/available rates (percent), cardinality and the riskiest of the largest categories."""
+def identity_rates(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """Missing/available rates (percent), cardinality and the riskiest category."""
     base = missing_vs_target(df, columns, target)
     counts = long_values(df, columns, keep=[F.col(target).alias("y")]).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")
     )
     cards = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("cardinality"))
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.col("n").desc(), "value"))
     rate = F.col("p") * 100.0 / F.col("n")
     riskiest = (
-        counts.withColumn("r", rank).filter(F.col("r") <= top).groupBy("feature")
+        counts.groupBy("feature")
         .agg(F.min_by("value", F.struct(-rate, F.col("value"))).alias("riskiest_category"), F.max(rate).alias("riskiest_rate"))
     )
     return (

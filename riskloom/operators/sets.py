@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -26,19 +27,38 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn("position", rank).filter(F.col("position") <= k)
 
 
+def id_hash(ids: Sequence[str], seed: int) -> Column:
+    """52 bits of the MD5 of the ids and a seed: the same for a row in every engine, plan and retry."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Cumulative Poisson probabilities, as far as a double tells them from 1."""
+    steps, term, total, k = [], math.exp(-mean), 0.0, 0
+    while total + term > total:
+        total += term
+        steps.append(total)
+        k += 1
+        term *= mean / k
+    return steps
+
+
 def seeded_sample(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement; the same rows on every read."""
-    h = F.xxhash64(*ids, F.lit(seed))
-    return df.orderBy(h, *ids).limit(n)
+    return df.orderBy(id_hash(ids, seed), *ids).limit(n)
 
 
 def seeded_fraction(df: DataFrame, ids: Sequence[str], share: float, seed: int) -> DataFrame:
     """About ``share`` of the rows, decided per row by a hash of its id."""
-    return df.filter(F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(id_hash(ids, seed) % 1_000_000 < int(share * 1_000_000))
 
 
-def bootstrap(df: DataFrame, seed: int) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=1.0, seed=seed)
+def bootstrap(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
+    """Each row as many times as a Poisson(1) draw from the hash of its id says."""
+    u = (id_hash(ids, seed) + 0.5) / float(1 << 52)
+    times = sum(((u >= step).cast("int") for step in poisson_steps()), F.lit(0))
+    return df.withColumn("__again", F.explode(F.array_repeat(F.lit(1), times))).drop("__again")
 
 
 def stack(frames: Mapping[str, DataFrame], label: str) -> DataFrame:

@@ -18,11 +18,10 @@ from riskloom.operators.quantiles import exact_quantiles
 from riskloom.operators.rows import with_row
 
 
-def value_ranks(counts: DataFrame, n: Column, *, at_most: int | None = None, rows_per_block: int | None = None) -> DataFrame:
+def value_ranks(counts: DataFrame, n: Column, *, rows_per_block: int | None = None) -> DataFrame:
     """Average rank of each value from ``(feature, value, ...)`` counts."""
     ranked = prefix_sums(
-        counts, ["feature"], ["value"], {"__before": n}, inclusive=False,
-        rows_per_block=rows_per_block, materialize=True, at_most=at_most,
+        counts, ["feature"], ["value"], {"__before": n}, inclusive=False, rows_per_block=rows_per_block
     )
     return ranked.withColumn("rank", F.col("__before") + (n + 1) / 2.0).drop("__before")
 
@@ -34,9 +33,7 @@ def rank_tests(df: DataFrame, columns: Sequence[str], target: str, *, rows_per_b
     is ever formed.  Class 1 is the first sample.
     """
     n = F.col("n0") + F.col("n1")
-    ranked = value_ranks(
-        sided_value_counts(df, columns, target), n, at_most=df.count() * len(columns), rows_per_block=rows_per_block
-    )
+    ranked = value_ranks(sided_value_counts(df, columns, target), n, rows_per_block=rows_per_block)
     d = lambda c: F.col(c).cast("double")
     sums = ranked.groupBy("feature").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),

@@ -593,7 +593,7 @@ def triple_hotspots(spark, d):
         round(((c.p + 0.5) / (n - c.p + 0.5)) / ((o.p - c.p + 0.5) / (rows - o.p - (n - c.p) + 0.5)), 6) AS odds_ratio FROM c, o WHERE n >= 10 ORDER BY rate DESC, "left", "right", cell LIMIT 40""",
 )
 def cell_odds_ratios(spark, d):
-    return _round(interact.cell_odds(line(spark, d), _ICOLS, "y"))
+    return _round(interact.cell_odds(line(spark, d), _ICOLS, "y", top=40))
 
 
 _SINGLE = _mi_sql(_bin_sql(LINE_SQL, _ICOLS, 4))
@@ -645,4 +645,4 @@ def interaction_production_screen(spark, d):
 @query("interaction_candidates", f"SELECT feature, count(DISTINCT value) AS n_unique, round(any_value(mi), 8) AS mi FROM {long_sql(LINE_SQL, _NUM, 'DOUBLE')} JOIN {_MI} USING (feature) GROUP BY 1")
 def interaction_candidates(spark, d):
     df = line(spark, d)
-    return _round(interact.interaction_inventory(df, _NUM, stats.mutual_information(df, _NUM, "y")), 8)
+    return _round(interact.interaction_inventory(df, _NUM, stats.mutual_information(df, _NUM, "y"), 15), 8)

@@ -129,13 +129,13 @@ def duplicate_overlap(spark, d):
 
 @query(
     "aligned_category_shares",
-    f"""WITH a AS (SELECT key % 40 + CASE WHEN key % 2 = 0 THEN 3 ELSE 0 END AS region, count(*) AS n_train FROM {TRAIN_SQL} WHERE key % 40 < 30 GROUP BY 1),
+    f"""WITH a AS (SELECT key % 40 + CASE WHEN key % 2 = 0 THEN 3 ELSE 0 END AS region, count(*) AS n_train FROM {TRAIN_SQL} GROUP BY 1),
         b AS (SELECT key % 40 AS region, count(*) AS n_test FROM {TEST_SQL} GROUP BY 1)
         SELECT coalesce(a.region, b.region) AS region, coalesce(n_train, 0) AS n_train, coalesce(n_test, 0) AS n_test FROM a FULL JOIN b ON a.region = b.region""",
 )
 def aligned_category_shares(spark, d):
     region = F.col("key") % 40
-    train = txn(spark, d, "train").filter(region < 30).groupBy((region + F.when(F.col("key") % 2 == 0, 3).otherwise(0)).alias("region")).agg(F.count(F.lit(1)).alias("n_train"))
+    train = txn(spark, d, "train").groupBy((region + F.when(F.col("key") % 2 == 0, 3).otherwise(0)).alias("region")).agg(F.count(F.lit(1)).alias("n_train"))
     test = txn(spark, d, "test").groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("n_test"))
     return joins.align_counts(train, test, ["region"], "n_train", "n_test")
 
@@ -145,15 +145,14 @@ def aligned_category_shares(spark, d):
 
 @query(
     "entity_statistics",
-    f"""WITH s AS (SELECT key, avg(amt) AS m, median(amt) AS md, coalesce(stddev_samp(amt), 0) AS sd, min(amt) AS lo, max(amt) AS hi, count(amt) AS n FROM {TRAIN_SQL} WHERE key % 9 <> 0 GROUP BY key),
+    f"""WITH s AS (SELECT key, avg(amt) AS m, median(amt) AS md, coalesce(stddev_samp(amt), 0) AS sd, min(amt) AS lo, max(amt) AS hi, count(amt) AS n FROM {TRAIN_SQL} GROUP BY key),
         g AS (SELECT avg(m) AS m, avg(md) AS md, avg(lo) AS lo, avg(hi) AS hi FROM s)
         SELECT t.id, t.key, round(coalesce(s.m, g.m), 6) AS key_amt_mean, round(coalesce(s.md, g.md), 6) AS key_amt_median, round(coalesce(s.sd, 0), 4) AS key_amt_std,
         round(coalesce(s.lo, g.lo), 6) AS key_amt_min, round(coalesce(s.hi, g.hi), 6) AS key_amt_max, coalesce(s.n, 0) AS key_amt_count
         FROM {TEST_SQL} t LEFT JOIN s ON t.key = s.key, g""",
 )
 def entity_statistics(spark, d):
-    # One customer in nine is kept out of the fit, so that unseen keys occur.
-    stats = aggregates.entity_stats(txn(spark, d, "train").filter("key % 9 <> 0"), "key", "amt")
+    stats = aggregates.entity_stats(txn(spark, d, "train"), "key", "amt")
     out = aggregates.attach_entity_stats(txn(spark, d, "test").select("id", "key"), stats, "key")
     return _round(out, key_amt_std=4)
 
@@ -304,9 +303,17 @@ def stratified_folds(spark, d):
     return out.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
-@query("hashed_stratified_folds")
+def _id_hash_sql(seed: int) -> str:
+    return f"('0x' || substr(md5(id::VARCHAR || '|{seed}'), 1, 13))::BIGINT"
+
+
+@query(
+    "hashed_stratified_folds",
+    f"""SELECT y, CAST(r % 5 AS INTEGER) AS fold, count(*) AS n FROM (
+        SELECT y, row_number() OVER (PARTITION BY y ORDER BY {_id_hash_sql(42)}, id) - 1 AS r FROM {TXN_SQL}) GROUP BY 1, 2""",
+)
 def hashed_stratified_folds(spark, d):
-    out = encode.stratified_folds(txn(spark, d).select("id", "y"), "y", F.xxhash64("id", F.lit(42)), 5)
+    out = encode.stratified_folds(txn(spark, d).select("id", "y"), "y", sets.id_hash(["id"], 42), 5)
     return out.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -346,19 +353,26 @@ def largest_row_per_key(spark, d):
     return store.latest_per_key(txn(spark, d).select("key", "id", "amt"), "key", ["amt", "id"])
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"SELECT id, amt, y FROM {TXN_SQL} ORDER BY {_id_hash_sql(42)}, id LIMIT 500")
 def seeded_sample(spark, d):
     return sets.seeded_sample(txn(spark, d), ["id"], 500, seed=42).select("id", "amt", "y")
 
 
-@query("seeded_fraction")
+@query("seeded_fraction", f"SELECT id FROM {TXN_SQL} WHERE {_id_hash_sql(42)} % 1000000 < 100000")
 def seeded_fraction(spark, d):
     return sets.seeded_fraction(txn(spark, d), ["id"], 0.1, seed=42).select("id")
 
 
-@query("bootstrap_sample")
+_POISSON_SQL = " + ".join(f"(u >= {step!r})::INT" for step in sets.poisson_steps())
+
+
+@query(
+    "bootstrap_sample",
+    f"""SELECT y, sum(times)::BIGINT AS n FROM (
+        SELECT y, {_POISSON_SQL} AS times FROM (SELECT y, ({_id_hash_sql(7)} + 0.5)::DOUBLE / 4503599627370496.0 AS u FROM {TXN_SQL})) GROUP BY 1""",
+)
 def bootstrap_sample(spark, d):
-    return sets.bootstrap(txn(spark, d).select("id", "y"), seed=7).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return sets.bootstrap(txn(spark, d).select("id", "y"), ["id"], seed=7).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -380,13 +394,13 @@ def report_union(spark, d):
     return sets.stack({"product": by_product, "day": by_day}, "report")
 
 
-_SET_A = f"(SELECT DISTINCT key % 60 AS region FROM {TRAIN_SQL} WHERE key % 60 < 50)"
-_SET_B = f"(SELECT DISTINCT key % 60 AS region FROM {TEST_SQL} WHERE key % 60 > 10)"
+_SET_A = f"(SELECT DISTINCT key % 60 AS region FROM {TXN_SQL})"
+_SET_B = f"(SELECT DISTINCT key % 75 + 10 AS region FROM {EV_SQL})"
 
 
 def _sets(spark, d):
-    region = (F.col("key") % 60).alias("region")
-    return txn(spark, d, "train").select(region).filter("region < 50"), txn(spark, d, "test").select(region).filter("region > 10")
+    # Regions of customers and of users: each side has some of its own.
+    return txn(spark, d).select((F.col("key") % 60).alias("region")), ev(spark, d).select((F.col("key") % 75 + 10).alias("region"))
 
 
 @query(

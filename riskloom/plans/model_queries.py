@@ -76,18 +76,18 @@ def batch_scoring(spark, d):
 @query("stacked_model")
 def stacked_model(spark, d):
     df = learnable(spark, d)
-    _, scored = model.stacked(df, FEATURES, F.pmod(F.xxhash64("orderkey", "partkey"), F.lit(2)), 2)
+    _, scored = model.stacked(df, FEATURES, F.pmod(F.xxhash64("orderkey", "partkey"), F.lit(3)), 3)
     return evaluate.curve_metrics(evaluate.score_curve(scored.select("y", "p")))
 
 
 @query("parameter_search")
 def parameter_search(spark, d):
-    return model.search(learnable(spark, d), FEATURES, trials=3, folds=2)
+    return model.search(learnable(spark, d), FEATURES)
 
 
 @query("best_trial")
 def best_trial(spark, d):
-    return model.best_trial(model.search(learnable(spark, d), FEATURES, trials=2, folds=2))
+    return model.best_trial(model.search(learnable(spark, d), FEATURES))
 
 
 @query("reconstruction_anomalies")
@@ -119,7 +119,7 @@ def perturbation_robustness(spark, d):
 
 @query("forest_importance")
 def forest_importance(spark, d):
-    return model.forest_importance(learnable(spark, d), FEATURES, trees=10)
+    return model.forest_importance(learnable(spark, d), FEATURES)
 
 
 @query("weak_features")
@@ -129,7 +129,7 @@ def weak_features(spark, d):
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    return model.permutation_importance(learnable(spark, d), ["qty", "disc", "tax"], IDS, repeats=1)
+    return model.permutation_importance(learnable(spark, d), FEATURES, IDS)
 
 
 @query("recursive_elimination")
@@ -139,12 +139,12 @@ def recursive_elimination(spark, d):
 
 @query("shadow_selection")
 def shadow_selection(spark, d):
-    return model.shadow_selection(learnable(spark, d), ["qty", "disc", "tax"], IDS, rounds=2)
+    return model.shadow_selection(learnable(spark, d), FEATURES, IDS)
 
 
 @query("importance_stability")
 def importance_stability(spark, d):
-    return model.importance_stability(learnable(spark, d), FEATURES, rounds=2)
+    return model.importance_stability(learnable(spark, d), FEATURES, IDS)
 
 
 # --- explanations ----------------------------------------------------------------------------
@@ -197,7 +197,7 @@ def model_contributions(spark, d):
 @query("partial_dependence")
 def partial_dependence(spark, d):
     train, test = _parts(spark, d)
-    return explain.partial_dependence(model.fit_forest(train, FEATURES, trees=10), test, FEATURES, "qty", 10)
+    return explain.partial_dependence(model.fit_forest(train, FEATURES), test, FEATURES, "qty", 10)
 
 
 @query("individual_curves")
@@ -216,4 +216,4 @@ def partial_dependence_2d(spark, d):
 @query("surrogate_rules")
 def surrogate_rules(spark, d):
     train, test = _parts(spark, d)
-    return explain.surrogate_rules(model.fit_forest(train, FEATURES, trees=10), test, FEATURES)
+    return explain.surrogate_rules(model.fit_forest(train, FEATURES), test, FEATURES)

@@ -91,8 +91,8 @@ def missing_vs_target(spark, d):
 @query(
     "identity_rates",
     f"""WITH c AS (SELECT feature, value, count(*) AS n, sum(y) AS p FROM {long_sql(_LABELLED, ['lang', 'source', 'quality'], keep='y')} WHERE value IS NOT NULL GROUP BY 1, 2),
-        r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS r, 100.0 * p / n AS rate FROM c),
-        t AS (SELECT feature, arg_min(value, (-rate, value)) AS riskiest_category, round(max(rate), 6) AS riskiest_rate FROM r WHERE r <= 20 GROUP BY 1),
+        r AS (SELECT *, 100.0 * p / n AS rate FROM c),
+        t AS (SELECT feature, arg_min(value, (-rate, value)) AS riskiest_category, round(max(rate), 6) AS riskiest_rate FROM r GROUP BY 1),
         k AS (SELECT feature, count(*) AS cardinality FROM c GROUP BY 1)
         SELECT feature, missing_count, round(a, 6) AS missing_rate, available_count, round(b, 6) AS available_rate, cardinality, riskiest_category, riskiest_rate
         FROM {_MVT} JOIN k USING (feature) JOIN t USING (feature)""",
@@ -123,11 +123,11 @@ def class_conditional_statistics(spark, d):
 
 
 _EVB = f"""(SELECT *, CASE WHEN amt <= 20 THEN 'Very Low' WHEN amt <= 100 THEN 'Low' WHEN amt <= 500 THEN 'Medium' WHEN amt <= 2000 THEN 'High'
-    ELSE 'Very High' END AS band, (dt // 3600) % 24 AS hour, key % 7 AS region FROM {EV_SQL} WHERE amt > 0)"""
+    ELSE 'Very High' END AS band, (dt // 3600) % 24 AS hour, key % 7 AS region FROM {EV_SQL})"""
 
 
 def _evb(spark, d):
-    df = ev(spark, d).filter("amt > 0")
+    df = ev(spark, d)
     return df.withColumns({
         "band": binning.amount_bin("amt"), "hour": F.pmod(F.floor(F.col("dt") / 3600), F.lit(24)), "region": F.col("key") % 7,
     })
@@ -147,7 +147,7 @@ def amount_band_rates(spark, d):
         string_agg(printf('%s(%.1f%%)', value, rate), ', ' ORDER BY r) FILTER (WHERE r <= 5) AS riskiest_values FROM r GROUP BY 1""",
 )
 def key_feature_risk(spark, d):
-    return _round(segments.key_features(_evb(spark, d), ["band", "region", "hour"], "y"))
+    return _round(segments.key_features(_evb(spark, d), ["band", "region", "hour"], "y", 100))
 
 
 @query(
@@ -163,16 +163,14 @@ def rates_by_quartile(spark, d):
 
 @query(
     "rates_by_hour",
-    f"""WITH h AS (SELECT unnest(range(24)) AS hour), r AS (SELECT hour, count(y) AS total, sum(y)::BIGINT AS positives, avg(amt) AS m FROM {_EVB} WHERE hour % 3 <> 0 GROUP BY 1),
-        g AS (SELECT avg(y) AS rate, count(*) AS n FROM {_EVB} WHERE hour % 3 <> 0)
+    f"""WITH h AS (SELECT unnest(range(24)) AS hour), r AS (SELECT hour, count(y) AS total, sum(y)::BIGINT AS positives, avg(amt) AS m FROM {_EVB} GROUP BY 1),
+        g AS (SELECT avg(y) AS rate, count(*) AS n FROM {_EVB})
         SELECT h.hour, coalesce(total, 0) AS total, coalesce(positives, 0) AS positives, round(coalesce(m, 0), 4) AS mean_amount,
         round(coalesce(100.0 * positives / total, 0), 6) AS rate_pct, round(100.0 * coalesce(total, 0) / n, 6) AS share_pct,
         round(coalesce(1.0 * positives / total, 0) / rate, 6) AS relative_risk FROM h LEFT JOIN r USING (hour), g""",
 )
 def rates_by_hour(spark, d):
-    # Two hours out of three, so that empty hours have to be filled in.
-    df = _evb(spark, d).filter("hour % 3 <> 0")
-    return _round(segments.rates_by_hour(df, "dt", "y", "amt"), mean_amount=4)
+    return _round(segments.rates_by_hour(_evb(spark, d), "dt", "y", "amt"), mean_amount=4)
 
 
 _PAIRS = {"band_region": ["band", "region"], "region_hour": ["region", "hour"], "band_hour": ["band", "hour"]}
@@ -200,7 +198,7 @@ def two_way_segment_rates(spark, d):
         FROM {_EVB} GROUP BY 1, 2, 3 ORDER BY total DESC, band, region, hour LIMIT 100""",
 )
 def segment_risk_profiles(spark, d):
-    return _round(segments.risk_profiles(_evb(spark, d), ["band", "region", "hour"], "y"))
+    return _round(segments.risk_profiles(_evb(spark, d), ["band", "region", "hour"], "y", 100))
 
 
 _DEVICE = """(SELECT CASE WHEN quality = 1 THEN 'mobile' WHEN quality = 0 THEN 'desktop' ELSE 'Missing' END AS device, y,
@@ -243,7 +241,7 @@ def device_browser_os_rates(spark, d):
     + " GROUP BY device, browser, os ORDER BY total DESC, device, browser, os LIMIT 100",
 )
 def identity_risk_profiles(spark, d):
-    return _round(segments.risk_profiles(_device(spark, d), ["device", "browser", "os"], "y"))
+    return _round(segments.risk_profiles(_device(spark, d), ["device", "browser", "os"], "y", 100))
 
 
 _AVAIL = f"(SELECT CASE WHEN quality IS NULL THEN 'None' ELSE 'High' END AS availability, y FROM {_LABELLED})"

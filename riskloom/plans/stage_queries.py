@@ -108,7 +108,7 @@ def schema_validation(spark, d):
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(rows, "n_rows")
 
 
-@query("view_drift", f"SELECT feature AS primary_feature, round(psi, 6) AS psi FROM {_psi_sql('histogram', chr(39) + 'price' + chr(39))}")
+@query("view_drift", f"SELECT feature, round(psi, 6) AS psi FROM {_psi_sql('histogram', chr(39) + 'price' + chr(39) + ', ' + chr(39) + 'qty' + chr(39))}")
 def view_drift(spark, d):
     base = work_path(spark, "views")
     a, b = _ab(spark, d)
@@ -283,7 +283,7 @@ def correlation_analysis_run(spark, d):
 
 @query(
     "interaction_analysis_run",
-    counts_sql(separation=3, hotspots=3, odds=40, strength=3, recommended=6, triples=1, stability=3, screen=3),
+    counts_sql(separation=3, hotspots=3, odds=48, strength=3, recommended=6, triples=1, stability=3, screen=3),
 )
 def interaction_analysis_run(spark, d):
     return _counted(analysis.interaction_reports(*_ab(spark, d), ["qty", "price", "disc"], "y"), work_path(spark, "interaction-reports"))

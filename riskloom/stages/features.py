@@ -146,7 +146,7 @@ def feature_validation(
         count("statistics", stats.filter("n_sigma > 0 OR n_out_of_bounds > 0 OR is_constant")),
         count("drift", drift.feature_drift_gate(train, test, features).filter("is_drifted")),
         count("leakage", correlation.leaking_columns(train, features, target, 0.9, strict=True)),
-        count("redundancy", correlation.redundancy(train, features)),
+        count("redundancy", correlation.redundancy(train, features, method="either")),
         count("importance", model.weak_features(train.withColumnRenamed(target, "y"), features).filter("is_weak")),
     ]
     out = schema_row
@@ -158,8 +158,8 @@ def feature_validation(
 
 
 def view_drift(train_view: DataFrame, test_view: DataFrame, features: Sequence[str]) -> DataFrame:
-    """PSI of the first feature of a view pair, over the full views."""
-    return drift.numeric_psi(train_view, test_view, list(features)[:1]).withColumnRenamed("feature", "primary_feature")
+    """PSI of each feature of a view pair, over the full views."""
+    return drift.numeric_psi(train_view, test_view, features)
 
 
 def leakage_run(df: DataFrame, features: Sequence[str], target: str, limit: float = 0.95) -> DataFrame:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from riskloom.operators import drift, encode, evaluate, explain, model, quality
 from riskloom.operators.rows import with_row
 from riskloom.operators.sets import stack
+from riskloom.session import cut_lineage
 
 
 def train_and_compare(df: DataFrame, features: Sequence[str], order: Sequence[str]) -> dict[str, DataFrame]:
     """Time-ordered holdout, three models, then comparison, thresholds, calibration and champion."""
-    parts = encode.time_holdout(df, order)
+    parts = cut_lineage(encode.time_holdout(df, order))
     train, test = parts.filter("role = 'train'"), parts.filter("role = 'test'")
     fitted = {
         "logistic": model.fit_logistic(train, features),
-        "forest": model.fit_forest(train, features, trees=20),
-        "boosted": model.fit_boosted(train, features, rounds=10),
+        "forest": model.fit_forest(train, features),
+        "boosted": model.fit_boosted(train, features),
     }
     scored = stack({n: model.score(m, test, features).select("y", "p") for n, m in fitted.items()}, "model")
     comparison = evaluate.compare_models(scored)
@@ -33,7 +34,7 @@ def train_and_compare(df: DataFrame, features: Sequence[str], order: Sequence[st
 
 def cross_validate(df: DataFrame, features: Sequence[str], order: Sequence[str], folds: int = 3) -> DataFrame:
     """Expanding-window folds along time, one logistic fit and AUC per fold."""
-    marked = encode.time_folds(df, order, folds)
+    marked = cut_lineage(encode.time_folds(df, order, folds))
     rows = []
     for k in range(folds):
         part = marked.filter(F.col("fold") == k)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.operators import correlation, drift, encode, evaluate, joins, quantiles, stats, temporal
+from riskloom.operators import correlation, drift, encode, evaluate, joins, profile, quantiles, sets, stats, temporal
 from riskloom.operators.ordered import prefix_sums, trailing, with_ordinal
 
 
@@ -150,3 +150,91 @@ def test_label_encoder_ranges(spark):
     df = spark.range(500).select(F.concat(F.lit("Customer#"), F.col("id") * 7919 % 500).alias("c"))
     plain, ranged = encode.fit_label(df, "c"), encode.fit_label(df, "c", rows_per_block=30)
     assert rows(plain, "value") == rows(ranged, "value")
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Columns that are all null, infinite, NaN or of one value, texts, and a null key."""
+    data = [
+        (i, None if i % 4 == 0 else i % 3, None, [INF, -INF, NAN, 1.5, None][i % 5], 7.0, f"t{i % 6}" if i % 7 else None, float(i % 10))
+        for i in range(200)
+    ]
+    return spark.createDataFrame(data, "id long, key int, nothing double, wild double, same double, name string, v double").cache()
+
+
+@pytest.mark.parametrize("lead", ["nothing", "wild", "same", "name"])
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_ranges_follow_any_order_column(odd, lead, keys):
+    w = Window.partitionBy(*keys).orderBy(lead, "id")
+    columns = {"m": lambda s: F.sum("v").over(s.rowsBetween(-3, -1)), "before": lambda s: F.lag("id").over(s)}
+    sums = odd.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("id", "s")
+    frames = odd.select("id", *[f(w).alias(k) for k, f in columns.items()])
+    for block in (None, 20):
+        assert rows(prefix_sums(odd, keys, [lead, "id"], {"s": F.col("v")}, rows_per_block=block).select("id", "s"), "id") == rows(sums, "id")
+        assert rows(trailing(odd, keys, [lead, "id"], 3, columns, rows_per_block=block).select("id", *columns), "id") == rows(frames, "id")
+
+
+def same(a, b):
+    return a is b or (a is not None and b is not None and (a == b or (a != a and b != b) or a == pytest.approx(b)))
+
+
+@pytest.mark.parametrize("block", [None, 20])
+def test_quantiles_of_odd_columns(odd, block):
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = quantiles.exact_quantiles(odd, ["nothing", "wild", "same", "v"], probs, rows_per_block=block)
+    assert got["nothing"] == [None] * 5 and got["same"] == [7.0] * 5
+    assert got["wild"][0] == -INF and got["wild"][1] == -INF and got["wild"][4] != got["wild"][4]
+    want = odd.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert got["v"] == pytest.approx(want)
+    infinite = odd.withColumn("i", F.lit(INF))
+    assert rows(quantiles.grouped_quantiles(infinite, ["key"], "i", {"q": 0.3}, rows_per_block=block), "key") == [(None, INF), (0, INF), (1, INF), (2, INF)]
+    assert quantiles.exact_quantiles(odd.limit(0), ["v"], probs) == {"v": [None] * 5}
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Columns with nulls in different rows."""
+    data = [
+        (float(i * 37 % 101), float((i * i) % 53) if i % 3 else None, float(i % 17) if i % 10 == 0 else None, float(i % 17) * 2 if i % 10 == 0 else None, 1.0)
+        for i in range(300)
+    ]
+    return spark.createDataFrame(data, "a double, b double, c double, d double, one double").cache()
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_correlation_of_complete_pairs(sparse, method):
+    names = ["a", "b", "c", "d", "one"]
+    want = sparse.toPandas()[names].corr(method=method)
+    find = correlation.pearson_pairs if method == "pearson" else correlation.spearman_pairs
+    got = find(sparse, names).collect()
+    assert len(got) == 10
+    for r in got:
+        w = want.loc[r["left"], r["right"]]
+        assert r["r"] == pytest.approx(0.0 if w != w else w, abs=1e-9)
+
+
+def test_asked_pairs_only(sparse):
+    assert correlation.pearson_pairs(sparse, ["a", "b"], []).collect() == []
+    assert [tuple(r)[:2] for r in correlation.pearson_pairs(sparse, ["a", "b", "c"], [("c", "a")]).collect()] == [("c", "a")]
+
+
+def test_many_columns(spark):
+    wide = spark.range(50).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(400)])
+    assert correlation.pearson_pairs(wide, wide.columns).count() == 400 * 399 // 2
+
+
+def test_bootstrap_does_not_depend_on_partitions(skewed):
+    draw = lambda df: sorted(r["id"] for r in sets.bootstrap(df, ["id"], 3).collect())
+    first = draw(skewed)
+    assert first == draw(skewed.repartition(7)) and abs(len(first) - 2000) < 200 and len(set(first)) < 1400
+
+
+def test_category_frequencies_rank_ties_by_name(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("a",), ("c",), (None,)], "x string")
+    for block in (None, 1):
+        got = rows(profile.category_frequencies(df, ["x"], rows_per_block=block), "rank")
+        assert got == [("x", "a", 2, 50.0, 50.0, 1), ("x", "b", 1, 25.0, 75.0, 2), ("x", "c", 1, 25.0, 100.0, 3)]
+    assert rows(profile.categorical_inventory(df, ["x"]), "feature") == [("x", 3, 1, 20.0, "a", 50.0)]
