@@ -26,7 +26,7 @@ STEPS = 3
 #: Groups below this size use their language's estimate, and languages the overall one.
 MIN_GROUP = 50
 #: Standard deviations added to each statistic: differences of this size are never telling.
-FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.1, "x_lines": 0.1, "x_repeats": 0.1}
+FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.1, "x_lines": 0.2, "x_repeats": 0.15}
 DIMS = list(FLOORS)
 #: Median and 1 - 10^-6 quantile of the chi-square distribution with five degrees of freedom.
 CHI_MEDIAN, CHI_LIMIT = 4.3515, 35.89
