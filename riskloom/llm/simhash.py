@@ -223,7 +223,8 @@ def shard_links(prints: DataFrame, radius: int = RADIUS, *, pairs: bool = False)
     themselves.
     """
     sizes = {r["part"]: r["count"] for r in prints.groupBy("part").count().collect()}  # a row for each part
-    sample = prints.orderBy(F.xxhash64("part", "fp"), "fp").limit(TREE_SAMPLE).toPandas()
+    some = F.pmod(F.xxhash64("part", "fp"), F.lit(max(1, sum(sizes.values()) // TREE_SAMPLE))) == 0
+    sample = prints.filter(some).limit(2 * TREE_SAMPLE).toPandas()
     trees = {}
     for part, n in sizes.items():
         own = sample.loc[sample["part"] == part, "fp"].to_numpy(np.int64).view(np.uint64)
@@ -357,7 +358,9 @@ def _with_node(rows: DataFrame, shared: DataFrame) -> DataFrame:
 def similar_groups(
     docs: DataFrame, similarity: float = SIMILARITY, parts: int = PARTS, radius: int = RADIUS
 ) -> tuple[DataFrame, DataFrame]:
-    """``(node, root)`` of every row in a group of similar texts, and the ids shared by several rows.
+    """``(node, keeper)`` of every row in a group of similar texts, and the ids shared by several rows.
+
+    The keeper of a group is the row with the smallest doc_id, null last.
 
     Candidates agree within ``radius`` bits in one of ``parts`` fingerprints of
     their distinct words; each part is a search of its own. A candidate pair
@@ -382,7 +385,10 @@ def similar_groups(
     common = F.size(F.array_intersect("s_a", "s_b"))
     total = F.size("s_a") + F.size("s_b") - common
     true_links = met.filter(common >= F.lit(similarity) * total).select("a", "b")
-    return connected_components(staged(true_links, "similar")), shared
+    groups = staged(connected_components(staged(true_links, "similar")), "groups")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    keepers = groups.join(rows.select("node", "doc_id"), "node").groupBy("root").agg(F.min_by("node", first).alias("keeper"))
+    return groups.join(keepers, "root").select("node", "keeper"), shared
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -394,7 +400,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     their own, of which one is kept per group. An empty table stays empty.
     """
     groups, shared = similar_groups(docs, similarity)
-    leave = staged(groups.filter("node <> root").select("node"), "leave")
+    leave = staged(groups.filter("node <> keeper").select("node"), "leave")
     marked = docs.withColumn("__mark", F.xxhash64("text"))
     marked = attach(marked, shared, ["doc_id"])
     node = F.when(F.col("__shared"), F.xxhash64(F.col("doc_id").cast("long"), "__mark")).otherwise(F.col("doc_id").cast("long"))
