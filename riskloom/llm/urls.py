@@ -110,7 +110,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame =
     rules = rules.select("verdict", "host", "path").withColumn("key", key_of("host"))
     n = urls.count()
     ranges = max(1, min(1_000, -(-n // ROWS_PER_RANGE)), min(24, n // 1_000))
-    sample = urls.select("key", "path", "salt").orderBy(F.xxhash64("salt")).limit(CUT_SAMPLE).collect()
+    some = F.pmod(F.xxhash64("salt"), F.lit(max(1, n // CUT_SAMPLE))) == 0  # so that tasks send few rows
+    sample = urls.filter(some).select("key", "path", "salt").limit(2 * CUT_SAMPLE).collect()
     ordered = sorted((r["key"], r["path"], r["salt"]) for r in sample)
     cuts = sorted({ordered[len(ordered) * i // ranges] for i in range(1, ranges)}) if ordered else []
 
