@@ -281,11 +281,12 @@ def archive_report(pages: DataFrame, path: str | None = None, segment_bytes: int
         "record_id", "record_type", "page_id", "refers_to_id", "segments",
         F.octet_length("payload").cast("long").alias("size"), F.pandas_udf(_base32, "string")(F.sha1("payload")).alias("sha"))
     rows = staged(rows, "records")
-    holders = rows.filter("record_type = 'response'").groupBy("record_id").agg(
-        F.max("size").alias("r_size"), F.max("sha").alias("r_sha"), F.max("page_id").alias("r_page"))
-    out = rows.join(holders.withColumnRenamed("record_id", "r_id"), F.col("refers_to_id") == F.col("r_id"), "left")
-    revisit = F.col("record_type") == "revisit"
-    return out.select(
-        "page_id", F.when(revisit, F.col("r_size")).otherwise(F.col("size")).alias("payload_bytes"),
-        F.when(revisit, F.col("r_sha")).otherwise(F.col("sha")).alias("payload_digest"), "record_type",
-        F.when(revisit, F.col("r_page")).alias("refers_to"), "segments")
+    holders = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
+        F.max("size").alias("r_size"), F.max("sha").alias("r_sha"), F.max("page_id").alias("refers_to"))
+    # Only revisits meet their response: responses refer to nothing and stay out of the join.
+    revisits = rows.filter("record_type = 'revisit'").join(holders, "refers_to_id", "left").select(
+        "page_id", F.col("r_size").alias("payload_bytes"), F.col("r_sha").alias("payload_digest"), "record_type", "refers_to", "segments")
+    responses = rows.filter("record_type = 'response'").select(
+        "page_id", F.col("size").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type",
+        F.lit(None).cast("long").alias("refers_to"), "segments")
+    return responses.unionAll(revisits)
