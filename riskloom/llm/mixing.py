@@ -19,7 +19,7 @@ SOURCE_WEIGHTS = (5, 2, 1)
 BUDGET_HALVES = 3
 MAX_EPOCHS = 2
 #: Rows of one source that share a block of the prefix sum.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 2_000
 NOISE = "[0-9#*$%&|<>=_+@{}~^]+"
 
 
