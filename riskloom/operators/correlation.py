@@ -30,14 +30,14 @@ def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _gram(rows: DataFrame, width: int, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """Pearson r of pairs of positions of the arrays ``v`` over rows where both are known.
+def _gram(rows: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(left, right, r)`` of pairs of positions of the arrays ``v``, over rows where both are known.
 
     Each task sums n, x, y, xx, yy and xy of its rows as products of the value
     matrix and the matrix of known entries, so the plan does not grow with the
     number of columns; the sums of the tasks are added per pair.
     """
-    left, right = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
+    width, left, right = len(names), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((6, len(left)))
@@ -49,20 +49,17 @@ def _gram(rows: DataFrame, width: int, pairs: Sequence[tuple[int, int]]) -> Data
             total += np.stack((counts[left, right], one[left, right], one[right, left],
                                two[left, right], two[right, left], products[left, right]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(left), dtype=np.int32)), *[pa.array(t) for t in total]], names=["pair", "n", "x", "y", "xx", "yy", "xy"])
+            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *[pa.array(t) for t in total]],
+            names=["l", "r", "n", "x", "y", "xx", "yy", "xy"])
 
-    added = rows.select("v").mapInArrow(sums, "pair int, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy")))
-    added = added.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    added = rows.select("v").mapInArrow(sums, "l int, r int, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy")))
+    added = added.groupBy("l", "r").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
     mean = lambda c: F.try_divide(F.col(c), F.col("n"))
     # What rounding leaves of a column that does not vary is no variance.
     spread = lambda c: F.when(mean(c + c) - mean(c) * mean(c) > 1e-13 * mean(c + c), mean(c + c) - mean(c) * mean(c))
-    r = F.try_divide(mean("xy") - mean("x") * mean("y"), F.sqrt(spread("x")) * F.sqrt(spread("y")))
-    return added.select("pair", F.coalesce(r, F.lit(0.0)).alias("r"), F.col("n").cast("long").alias("n"))
-
-
-def _named(found: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    names = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs])
-    return found.withColumn("p", F.get(names, F.col("pair"))).select("p.left", "p.right", "r")
+    value = F.try_divide(mean("xy") - mean("x") * mean("y"), F.sqrt(spread("x")) * F.sqrt(spread("y")))
+    named = F.array(*[F.lit(c) for c in names])
+    return added.select(F.get(named, F.col("l")).alias("left"), F.get(named, F.col("r")).alias("right"), F.coalesce(value, F.lit(0.0)).alias("r"))
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
@@ -74,7 +71,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[s
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in used]).first()
     centred = [F.col(c).cast("double") - F.lit(means[c] if means[c] is not None and math.isfinite(means[c]) else 0.0) for c in used]
     at = {c: i for i, c in enumerate(used)}
-    return _named(_gram(df.select(F.array(*centred).alias("v")), len(used), [(at[a], at[b]) for a, b in pairs]), pairs)
+    return _gram(df.select(F.array(*centred).alias("v")), used, [(at[a], at[b]) for a, b in pairs])
 
 
 def _mask_classes(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
@@ -115,7 +112,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], *, rows_per_block: int
     back = long.join(ranks, ["feature", "value"]).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("m"))
     wide = back.select(F.transform(F.sequence(F.lit(0), F.lit(len(ranked) - 1)), lambda i: F.element_at("m", i)).alias("v"))
     at = {x: i for i, x in enumerate(ranked)}
-    return _named(_gram(wide, len(ranked), [(at[a, of[b]], at[b, of[a]]) for a, b in pairs]), pairs)
+    return _gram(wide, [c for c, _ in ranked], [(at[a, of[b]], at[b, of[a]]) for a, b in pairs])
 
 
 def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, rows_per_block: int | None = None) -> DataFrame:
