@@ -40,6 +40,9 @@ SEED = 42
 PARTS = 6
 SIMILARITY = 0.8
 VERIFY_WORDS = 5
+#: Texts whose shingles are counted to put common ones last, and how many of those are told apart; both only order work.
+ORDER_SAMPLE = 16_384
+ORDER_SHINGLES = 200_000
 #: An odd number that spreads bits when multiplied by.
 MIX = 0x9E3779B97F4A7C15
 
@@ -324,24 +327,100 @@ def word_sketches(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, mark long, prints array<long>")
 
 
+def shingle_hashes(text: bytes | None, shingle_words: int = VERIFY_WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles of ``text``, A-Z lower-cased."""
+    words = (text or b"").lower().split()
+    runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))} if words else ()
+    return np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, shingle_words: int = VERIFY_WORDS) -> DataFrame:
     """``(node, shingles)`` of ``docs(node, text)``: distinct 64-bit hashes of the word shingles."""
 
-    def hashes(text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))} if words else ()
-        return np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs)).view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # a few sets at once
                 piece = batch.slice(at, 500)
-                sets = [hashes(t.as_py()) for t in piece.column(1)]
+                sets = [shingle_hashes(t.as_py(), shingle_words) for t in piece.column(1)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of ``texts(node, text)`` hold, ascending, and how many do."""
+    some = F.pmod(F.xxhash64("node"), F.lit(max(1, texts.count() // ORDER_SAMPLE))) == 0
+    held = shingle_sets(texts.filter(some)).select(F.explode("shingles").alias("token"))
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas().sort_values("token")
+    return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """``(node, mark, size, tokens)`` of ``texts(node, text)``: hash and size of the shingle set, and its rarest shingles.
+
+    Sets of the wanted similarity share one of these ``tokens``: in any order
+    common to all sets, two sets without a shared one among the first
+    ``size - similarity * size + 1`` of each have too few left to share.
+    """
+    common, counts = common_shingles(texts)
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        often = np.zeros(len(hashes), dtype=np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            often = np.where(common[at] == hashes, counts[at], 0)
+        needed = int(np.ceil(similarity * len(hashes) - 1e-6))
+        return hashes[np.lexsort((hashes, often))[: len(hashes) - needed + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                sets = [np.sort(shingle_hashes(t.as_py())) for t in piece.column(1)]
+                marks = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(marks), pa.array([len(s) for s in sets], type=pa.int32()),
+                     pa.array([prefix(s) for s in sets], type=pa.list_(pa.int64()))], names=["node", "mark", "size", "tokens"])
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, mark long, size int, tokens array<long>")
+
+
+def crossing_tokens(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(token, node, root, size, pos)`` of the prefix shingles that several of ``groups(node, root)`` hold."""
+    named = attach(prefixes, groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
+    long = named.select("node", "root", "size", F.posexplode("tokens").alias("pos", "token"))
+    ends = long.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = staged(ends.filter("low <> high").select("token"), "mixed")
+    return staged(attach(long, mixed, ["token"], "left_semi"), "crossing")
+
+
+def crossing_pairs(rows: DataFrame, similarity: float, *, star: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of ``crossing_tokens`` in different groups that can be similar; with ``star``, those with the smallest node of a token.
+
+    Up to their first shared shingle, two sets have nothing in common, so its
+    positions bound what they can share.
+    """
+    own = F.struct("node", "root", "size", "pos")
+    left = rows.select("token", own.alias("x"))
+    right = rows.groupBy("token").agg(F.min(own).alias("y")) if star else rows.select("token", own.alias("y"))
+    shared = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    possible = shared * (1.0 + similarity) + 1e-6 >= F.lit(similarity) * (F.col("x.size") + F.col("y.size"))
+    met = left.join(right, "token").filter((F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible)
+    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
+def true_links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The staged ``pairs(a, b)`` whose ``texts(node, text)`` have the wanted similarity."""
+    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+    sets = staged(shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text")).dropDuplicates(["node"]), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    total = F.size("s_a") + F.size("s_b") - common
+    return staged(met.filter(common >= F.lit(similarity) * total).select("a", "b"), "similar")
+
+
 def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``node``, the doc_id where it names one row and else a hash; and the ids of several rows or none."""
     counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -362,11 +441,15 @@ def similar_groups(
 
     The keeper of a group is the row with the smallest doc_id, null last.
 
-    Candidates agree within ``radius`` bits in one of ``parts`` fingerprints of
-    their distinct words; each part is a search of its own. A candidate pair
-    links if the Jaccard similarity of its five-word shingles is at least
-    ``similarity``. Candidates of a group are the pairs of a spanning forest
-    and the pairs with the smallest node of each fingerprint.
+    A pair links if the Jaccard similarity of its five-word shingles is at
+    least ``similarity``, and groups are the components of all such links.
+    Most are found between texts that agree within ``radius`` bits in one of
+    ``parts`` fingerprints of their distinct words, along a spanning forest
+    and to the smallest node of each fingerprint, and between equal sets of
+    shingles. The rest is a prefix-filtered join: two texts of the wanted
+    similarity share one of their rarest shingles, so every pair with such a
+    shingle whose texts are not yet in one group is compared, first with the
+    smallest node of the shingle, then all that are still apart.
     """
     rows, shared = _nodes(staged(word_sketches(docs, parts), "sketches"))
     long = staged(rows.select("node", F.posexplode("prints").alias("part", "fp")), "prints")
@@ -375,17 +458,19 @@ def similar_groups(
     links = staged(shard_links(points, radius, pairs=True), "links")
     ends = [points.select("part", F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
     near = links.join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    both = same.unionAll(near)
+    texts = _with_node(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), shared).select("node", "text")
+    prefixes = staged(shingle_prefixes(texts, similarity), "prefixes")
+    sets = staged(prefixes.groupBy("mark", "size").agg(F.min("node").alias("first")), "sets")
+    equal = prefixes.join(sets, ["mark", "size"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    both = same.unionAll(near).unionAll(equal)
     pairs = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter("a <> b"), "pairs")
-    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
-    texts = _with_node(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), shared)
-    sets = staged(shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text")).dropDuplicates(["node"]), "sets")
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    met = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    total = F.size("s_a") + F.size("s_b") - common
-    true_links = met.filter(common >= F.lit(similarity) * total).select("a", "b")
-    groups = staged(connected_components(staged(true_links, "similar")), "groups")
+    found = true_links(texts, pairs, similarity)
+    groups = staged(connected_components(found), "groups")
+    prefixes = attach(prefixes, sets.select(F.col("first").alias("node")), ["node"], "left_semi")
+    for star in (True, False):
+        pairs = staged(crossing_pairs(crossing_tokens(prefixes, groups), similarity, star=star), "pairs")
+        found = found.unionAll(true_links(texts, pairs, similarity))
+        groups = staged(connected_components(found), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     keepers = groups.join(rows.select("node", "doc_id"), "node").groupBy("root").agg(F.min_by("node", first).alias("keeper"))
     return groups.join(keepers, "root").select("node", "keeper"), shared

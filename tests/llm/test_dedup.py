@@ -62,6 +62,36 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.filter("doc_id is null").count() == 1  # the other null id is in the group of doc 1
 
 
+def first_of_groups(rows):
+    first = {}
+    for (i, _), c in zip(rows, brute.similar_components([t for _, t in rows])):
+        first[c] = min(first.get(c, i), i)
+    return sorted(first.values())
+
+
+def test_pairs_behind_a_failed_candidate_are_compared(spark):
+    """Three orders of the same words: the first is near neither of the others, which are near each other."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(80)]
+        other = rng.sample(base, len(base))
+        rows += [(10 * group + i, " ".join(w)) for i, w in enumerate((base, other, other[:40] + [other[41], other[40]] + other[42:]))]
+    assert len(first_of_groups(rows)) == 12
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()) == first_of_groups(rows)
+
+
+def test_copies_with_a_passage_appended_go(spark):
+    rng = random.Random(12)
+    rows = [(5000, "a b c"), (5001, "A  b c"), (5002, "a b c d"), (5003, ""), (5004, None)]
+    for i in range(60):
+        n = rng.choice([14, 40, 100, 300])
+        base = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(n)]
+        more = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.randint(1, n // 4))]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base + more)), (10 * i + 2, " ".join(base[:-1] + ["last"]))]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()) == first_of_groups(rows)
+
+
 @pytest.mark.parametrize("n, copies", [(6_000, 0), (500, 5_000)])
 def test_shards_find_every_link(n, copies):
     rng = np.random.default_rng(n)
