@@ -26,7 +26,7 @@ STEPS = 3
 #: Groups below this size use their language's estimate, and languages the overall one.
 MIN_GROUP = 50
 #: Standard deviations added to each statistic: differences of this size are never telling.
-FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.1, "x_lines": 0.2, "x_repeats": 0.15}
+FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.1, "x_lines": 0.1, "x_repeats": 0.15}
 DIMS = list(FLOORS)
 #: Median and 1 - 10^-6 quantile of the chi-square distribution with five degrees of freedom.
 CHI_MEDIAN, CHI_LIMIT = 4.3515, 35.89
@@ -76,13 +76,16 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def vectors() -> dict[str, Column]:
-    """Logarithms of counts and square roots of shares, which are close to symmetric for prose."""
+    """Logarithms of counts and square roots of shares, which are close to symmetric for prose.
+
+    One repeated line is no sign of an outlier, so lines count from the second repeat.
+    """
     words, chars = F.col("n_words"), F.col("word_chars")
     return {
         "x_words": F.log(1.0 + words),
         "x_length": F.log((1.0 + chars) / (1.0 + words)),
         "x_symbols": F.sqrt(F.col("n_symbols") / (1.0 + chars)),
-        "x_lines": F.sqrt(F.col("n_dup_lines") / (1.0 + F.col("n_lines"))),
+        "x_lines": F.sqrt(F.greatest(F.col("n_dup_lines") - 1, F.lit(0)) / (1.0 + F.col("n_lines"))),
         "x_repeats": F.sqrt(F.col("n_repeat_words") / (1.0 + words)),
     }
 

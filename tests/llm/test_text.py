@@ -106,6 +106,16 @@ def test_outliers_go_and_prose_stays(spark):
     assert sum(found[100 + i] for i in range(400)) >= 398
 
 
+def test_repeated_lines_go_and_one_repeat_stays(spark):
+    """Short repeated lines between lines of their own: no window of eight words repeats."""
+    rows = [(i, "\n".join(prose(100 * i + j, 9) + f" {i}" for j in range(50)), "en", "a") for i in range(200)]
+    again = [f"{prose(9000 + j, 9)} {j}\nin rivers" for j in range(40)]
+    rows += [(1000, "\n".join(again), "en", "a"), (1001, rows[0][1] + "\nmenu\nmenu", "en", "a")]
+    found = {r["doc_id"]: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert found[1000]["n_dup_lines"] == 39 and not found[1000]["base_failed"] and not found[1000]["kept"]
+    assert found[1001]["n_dup_lines"] == 1 and found[1001]["kept"]
+
+
 def test_distances_equal_numpy(spark):
     """The last concentration step against a plain fit of the same rows."""
     rows = documents(spark, [r for r in quality_rows() if r[0] and r[0] < 500 and r[0] >= 100])
