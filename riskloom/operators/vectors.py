@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,34 @@ def event_hash(previous, fields: Sequence[str] = CHAIN_FIELDS):
     return F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields], previous), 256)
 
 
+def hash_chain(log: DataFrame, order: str, *, chain: str = "chain") -> DataFrame:
+    """``log`` with ``position``, ``previous_hash`` and ``event_hash`` of whole chains, by ``order`` (no ties, chain not null).
+
+    A link needs the hash before it, so a chain is walked in order; a task holds
+    one Arrow batch of it at a time.
+    """
+    made = ["position", "previous_hash", "event_hash"]
+    content = F.concat_ws("|", *[F.col(f).cast("string") for f in CHAIN_FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, position, last = None, 0, GENESIS
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(chain).to_pylist(), batch.column("__content").to_pylist()):
+                if key != now:
+                    now, position, last = key, 0, GENESIS
+                own = hashlib.sha256(f"{text}|{last}".encode()).hexdigest()
+                rows.append((position, last, own))
+                position, last = position + 1, own
+            arrays = [pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            kept = [n for n in batch.schema.names if n != "__content"]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + arrays, names=[*kept, *made])
+
+    ordered = log.withColumn("__content", content).repartition(chain).sortWithinPartitions(chain, order)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in log.dtypes)
+    return ordered.mapInArrow(run, f"{schema}, position long, previous_hash string, event_hash string")
+
+
 def verify_chain(log: DataFrame, order: str, *, chain: str = "chain") -> DataFrame:
     """Broken links of hash-chained audit logs.
 

@@ -328,19 +328,13 @@ def dataset_fingerprint(spark, d):
         UNION ALL SELECT chain, 0, 'broken link' FROM e WHERE position = 0 AND event_id % 10 = 4""",
 )
 def audit_chain(spark, d):
-    # Two-step logs per user from the events: the genesis link, then one more.
-    from riskloom.operators.sets import top_per_group
-
+    # The log of each user holds all of the user's events.
     events = table(spark, d, "events").select("event_id", F.col("user_id").alias("chain"), "event_type", "value")
-    log = top_per_group(events, ["chain"], [F.col("event_id")], 2).select(
-        "chain", "event_id", (F.col("position") - 1).cast("long").alias("position"), F.col("event_id").cast("string").alias("ts"),
+    log = events.select(
+        "chain", "event_id", F.col("event_id").cast("string").alias("ts"),
         F.col("chain").cast("string").alias("user"), F.col("event_type").alias("action"), F.col("value").cast("string").alias("resource"), F.lit("SUCCESS").alias("status"),
     )
-    first = log.filter("position = 0").withColumn("previous_hash", F.lit(vectors.GENESIS))
-    first = first.withColumn("event_hash", vectors.event_hash(F.col("previous_hash")))
-    second = log.filter("position = 1").join(first.select("chain", F.col("event_hash").alias("previous_hash")), "chain")
-    second = second.withColumn("event_hash", vectors.event_hash(F.col("previous_hash")))
-    chain = first.unionByName(second.select(*first.columns))
+    chain = vectors.hash_chain(log, "event_id")
     # Tamper: one kind of row loses its content, another its link.
     changed = F.when((F.col("position") == 1) & (F.col("event_id") % 10 == 3), "FAILURE").otherwise(F.col("status"))
     unlinked = F.when((F.col("position") == 0) & (F.col("event_id") % 10 == 4), F.lit("f" * 64)).otherwise(F.col("previous_hash"))

@@ -40,13 +40,13 @@ def logistic_baseline(spark, d):
 @query("forest_model")
 def forest_model(spark, d):
     train, test = _parts(spark, d)
-    return _report("forest", model.fit_forest(train, FEATURES, trees=20), test)
+    return _report("forest", model.fit_forest(train, FEATURES), test)
 
 
 @query("boosted_model")
 def boosted_model(spark, d):
     train, test = _parts(spark, d)
-    return _report("boosted", model.fit_boosted(train, FEATURES, rounds=10), test)
+    return _report("boosted", model.fit_boosted(train, FEATURES), test)
 
 
 @query("fit_and_validate")

@@ -342,3 +342,29 @@ def test_tampered_chain(spark):
     log = base.withColumn("event_hash", vectors.event_hash(F.col("previous_hash")))
     assert vectors.verify_chain(log, "pos").count() == 0
     assert vectors.verify_chain(log.withColumn("status", F.lit("X")), "pos").first()["problem"] == "changed content"
+
+
+def test_audit_chain_holds_every_event(spark, small_dir, monkeypatch):
+    from riskloom.plans import evaluation_queries
+
+    seen, verify = [], vectors.verify_chain
+    monkeypatch.setattr(vectors, "verify_chain", lambda log, *a, **k: seen.append(log) or verify(log, *a, **k))
+    evaluation_queries.audit_chain(spark, small_dir)
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    assert seen[0].count() == events.count()
+    late = seen[0].withColumn("status", F.when(F.col("position") == 4, "FAILURE").otherwise(F.col("status")))
+    found = verify(late, "position").filter("position = 4").count()
+    assert found == seen[0].filter("position = 4").count() > 0
+
+
+def test_model_queries_fit_whole_models(monkeypatch):
+    from riskloom.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(model_queries, "_parts", lambda spark, d: (None, None))
+    monkeypatch.setattr(model_queries, "_report", lambda *a: None)
+    monkeypatch.setattr(model_queries.model, "fit_forest", lambda df, f, trees=50: seen.append(trees))
+    monkeypatch.setattr(model_queries.model, "fit_boosted", lambda df, f, rounds=100: seen.append(rounds))
+    model_queries.forest_model(None, None)
+    model_queries.boosted_model(None, None)
+    assert seen == [50, 100]
