@@ -215,14 +215,14 @@ def approximate_cardinality(spark, d):
 
 
 _DOC_TEXTS = ["lang", "source", "quality", "toxic"]
-_DOC_LONG = long_sql(DOC_SQL, _DOC_TEXTS)
+_DOC_TEXTS_LONG = long_sql(DOC_SQL, _DOC_TEXTS)
 
 
 @query(
     "category_frequencies",
     f"""SELECT feature, value AS category, n, round(100.0 * n / sum(n) OVER (PARTITION BY feature), 6) AS pct,
         round(100.0 * sum(n) OVER w / sum(n) OVER (PARTITION BY feature), 6) AS cumulative_pct, row_number() OVER w AS rank
-        FROM (SELECT feature, value, count(*) AS n FROM {_DOC_LONG} WHERE value IS NOT NULL GROUP BY 1, 2)
+        FROM (SELECT feature, value, count(*) AS n FROM {_DOC_TEXTS_LONG} WHERE value IS NOT NULL GROUP BY 1, 2)
         WINDOW w AS (PARTITION BY feature ORDER BY n DESC, value)""",
 )
 def category_frequencies(spark, d):
@@ -235,7 +235,7 @@ def category_frequencies(spark, d):
         round(100.0 * sum(CASE WHEN value IS NULL THEN n ELSE 0 END) / sum(n), 6) AS missing_pct,
         arg_min(value, (-n, value)) FILTER (WHERE value IS NOT NULL) AS dominant_category,
         round(100.0 * max(n) FILTER (WHERE value IS NOT NULL) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS dominant_pct
-        FROM (SELECT feature, value, count(*) AS n FROM {_DOC_LONG} GROUP BY 1, 2) GROUP BY 1""",
+        FROM (SELECT feature, value, count(*) AS n FROM {_DOC_TEXTS_LONG} GROUP BY 1, 2) GROUP BY 1""",
 )
 def categorical_inventory(spark, d):
     return _round(profile.categorical_inventory(doc(spark, d), _DOC_TEXTS))
