@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, linededup, mixing, pii, quality, simhash, tokens, toxicity, urls, warc
+from riskloom.llm import decontam, linededup, mixing, periodic, pii, quality, simhash, spelling, tokens, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +151,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def missing_letters(doc_id: str, runs: list[bytes]) -> list[bytes]:
+    """The runs of a document, one of 31 without a code point that the checksum of document and run names."""
+    start, out = zlib.crc32(f"{doc_id}:".encode()), []
+    for run in runs:
+        h = zlib.crc32(run, start)
+        if h % 31 == 0:
+            text = run.decode()
+            run = (text[: h % len(text)] + text[h % len(text) + 1 :]).encode()
+        out.append(run)
+    return out
+
+
+@query("op11_spelling_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), edit=missing_letters)
+
+
+def with_period(doc_id: str, words: list[bytes]) -> list[bytes]:
+    """The words of a document; one of ten, by the checksum of its id, repeats a part of them to its end."""
+    h, n = zlib.crc32(doc_id.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return words[:first] + [words[first + i % period] for i in range(n - first)]
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), edit=with_period)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = found.select("doc_id", "runs", "collapsed_text", longest.alias("longest"))
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
