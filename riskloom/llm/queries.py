@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, linededup, mixing, periodic, pii, quality, simhash, spelling, tokens, toxicity, urls, warc
+from riskloom.llm import decontam, linededup, mixing, periodic, pii, quality, simhash, spelling, substrings, tokens, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,3 +193,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+@query("op13_prefix_doubling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
