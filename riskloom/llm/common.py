@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ def attach(
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes of a text column, a row at least."""
+    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)], dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
+        yield batch.slice(int(first), int(last - first))
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Ids of an Arrow column with nulls as ``NO_ID``."""
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)

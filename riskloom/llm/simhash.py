@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import attach, staged
+from riskloom.llm.common import attach, slices, staged
 from riskloom.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -36,8 +36,9 @@ LEAF_POINTS = 1_024
 #: Points compared with a block of 256 at once, so that the differences stay in the cache.
 TILE = 256
 SEED = 42
-#: For groups of similar texts: 64-bit fingerprints a text, least similarity and words of a shingle.
-PARTS = 6
+#: For groups of similar texts: 64-bit fingerprints a text, least similarity and words of a shingle. More
+#: fingerprints find more pairs before the join of rare shingles, which finds all that are left.
+PARTS = 2
 SIMILARITY = 0.8
 VERIFY_WORDS = 5
 #: Texts whose shingles are counted to put common ones last, and how many of those are told apart; both only order work.
@@ -339,8 +340,7 @@ def shingle_sets(docs: DataFrame, shingle_words: int = VERIFY_WORDS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # a few sets at once
-                piece = batch.slice(at, 500)
+            for piece in slices(batch, 1):  # a few sets at once
                 sets = [shingle_hashes(t.as_py(), shingle_words) for t in piece.column(1)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -375,8 +375,7 @@ def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for piece in slices(batch, 1):
                 sets = [np.sort(shingle_hashes(t.as_py())) for t in piece.column(1)]
                 marks = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -386,10 +385,16 @@ def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, mark long, size int, tokens array<long>")
 
 
-def crossing_tokens(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(token, node, root, size, pos)`` of the prefix shingles that several of ``groups(node, root)`` hold."""
-    named = attach(prefixes, groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
-    long = named.select("node", "root", "size", F.posexplode("tokens").alias("pos", "token"))
+def shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """``(token, node, size, pos)`` of the prefix shingles that several nodes hold; most have one holder and go no further."""
+    long = prefixes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    several = long.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    return staged(attach(long, staged(several, "several"), ["token"], "left_semi"), "shared")
+
+
+def crossing_tokens(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(token, node, root, size, pos)`` of the ``shared_tokens`` that several of ``groups(node, root)`` hold."""
+    long = attach(shared, groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
     ends = long.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = staged(ends.filter("low <> high").select("token"), "mixed")
     return staged(attach(long, mixed, ["token"], "left_semi"), "crossing")
@@ -399,15 +404,27 @@ def crossing_pairs(rows: DataFrame, similarity: float, *, star: bool) -> DataFra
     """Pairs ``(a, b)`` of ``crossing_tokens`` in different groups that can be similar; with ``star``, those with the smallest node of a token.
 
     Up to their first shared shingle, two sets have nothing in common, so its
-    positions bound what they can share.
+    positions bound what they can share. The smaller set of a pair is dealt to
+    the band of sizes it lies in and, where its own position lets it reach
+    that far, to the next; only sets of a band meet.
     """
     own = F.struct("node", "root", "size", "pos")
-    left = rows.select("token", own.alias("x"))
-    right = rows.groupBy("token").agg(F.min(own).alias("y")) if star else rows.select("token", own.alias("y"))
     shared = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     possible = shared * (1.0 + similarity) + 1e-6 >= F.lit(similarity) * (F.col("x.size") + F.col("y.size"))
-    met = left.join(right, "token").filter((F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible)
-    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    apart = F.col("x.root") != F.col("y.root")
+    if star:
+        met = rows.select("token", own.alias("x")).join(rows.groupBy("token").agg(F.min(own).alias("y")), "token")
+        met = met.filter((F.col("x.node") > F.col("y.node")) & apart & possible)
+    else:
+        band = lambda size: F.floor(-F.log(F.greatest(size, F.lit(1.0))) / float(np.log(similarity)) + 1e-9).cast("int")
+        size = F.col("size").cast("double")
+        reach = (size - F.col("pos")) * (1.0 + similarity) / similarity - size + 1e-3  # the largest set it can be similar to
+        left = rows.select("token", band(size).alias("band"), own.alias("x"))
+        bands = F.sequence(band(size), F.greatest(band(size), F.least(band(size) + 1, band(reach))))
+        right = rows.select("token", F.explode(bands).alias("band"), own.alias("y"))
+        larger = F.struct("x.size", "x.node") > F.struct("y.size", "y.node")
+        met = left.join(right, ["token", "band"]).filter(larger & apart & possible)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def true_links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -466,9 +483,9 @@ def similar_groups(
     pairs = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter("a <> b"), "pairs")
     found = true_links(texts, pairs, similarity)
     groups = staged(connected_components(found), "groups")
-    prefixes = attach(prefixes, sets.select(F.col("first").alias("node")), ["node"], "left_semi")
+    rare = shared_tokens(attach(prefixes, sets.select(F.col("first").alias("node")), ["node"], "left_semi"))
     for star in (True, False):
-        pairs = staged(crossing_pairs(crossing_tokens(prefixes, groups), similarity, star=star), "pairs")
+        pairs = staged(crossing_pairs(crossing_tokens(rare, groups), similarity, star=star), "pairs")
         found = found.unionAll(true_links(texts, pairs, similarity))
         groups = staged(connected_components(found), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
