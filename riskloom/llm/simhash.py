@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import attach, slices, staged
+from riskloom.llm.common import attach, discard, slices, staged
 from riskloom.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -44,6 +44,8 @@ VERIFY_WORDS = 5
 #: Texts whose shingles are counted to put common ones last, and how many of those are told apart; both only order work.
 ORDER_SAMPLE = 16_384
 ORDER_SHINGLES = 200_000
+#: Rare shingles in a sorted range.
+RANGE_TOKENS = 2_000_000
 #: An odd number that spreads bits when multiplied by.
 MIX = 0x9E3779B97F4A7C15
 
@@ -386,10 +388,32 @@ def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """``(token, node, size, pos)`` of the prefix shingles that several nodes hold; most have one holder and go no further."""
-    long = prefixes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
-    several = long.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    return staged(attach(long, staged(several, "several"), ["token"], "left_semi"), "shared")
+    """``(token, node, size, pos)`` of the prefix shingles of staged ``prefixes`` that several nodes hold.
+
+    Most have one holder and go no further: in the order of shingles they equal
+    neither neighbour. The first and last row of a range always stay.
+    """
+    long = prefixes.select(F.posexplode("tokens").alias("pos", "token"), "node", "size").select("token", "node", "size", "pos")
+    n_ranges = max(1, -(-(prefixes.agg(F.sum(F.size("tokens"))).first()[0] or 0) // RANGE_TOKENS))
+    ranges = long.repartitionByRange(n_ranges, "token", "node").sortWithinPartitions("token", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None  # the last row so far and whether it stays
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column(0).to_numpy()
+            same = np.concatenate([[last is None or last.column(0)[0].as_py() == tokens[0]], tokens[1:] == tokens[:-1]])
+            if last is not None and (known or same[0]):
+                yield last
+            stays = same.copy()
+            stays[:-1] |= same[1:]
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(stays[:-1]))
+            last, known = batch.slice(batch.num_rows - 1), bool(stays[-1])
+        if last is not None:
+            yield last
+
+    return staged(ranges.mapInArrow(run, "token long, node long, size int, pos int"), "shared")
 
 
 def crossing_tokens(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -428,11 +452,11 @@ def crossing_pairs(rows: DataFrame, similarity: float, *, star: bool) -> DataFra
 
 
 def true_links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The staged ``pairs(a, b)`` whose ``texts(node, text)`` have the wanted similarity."""
+    """The staged ``pairs(a, b)`` whose ``texts(node, text)``, one row a node, have the wanted similarity."""
     used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
-    sets = staged(shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text")).dropDuplicates(["node"]), "sets")
+    sets = shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text"))
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(left, "a").join(right, "b")  # both sides read one shuffle of the sets
     common = F.size(F.array_intersect("s_a", "s_b"))
     total = F.size("s_a") + F.size("s_b") - common
     return staged(met.filter(common >= F.lit(similarity) * total).select("a", "b"), "similar")
@@ -475,7 +499,11 @@ def similar_groups(
     links = staged(shard_links(points, radius, pairs=True), "links")
     ends = [points.select("part", F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
     near = links.join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    texts = _with_node(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), shared).select("node", "text")
+    marked = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    texts = _with_node(marked, shared).select("node", "text")
+    if shared.limit(1).count():  # rows that repeat an id and a text are one node
+        alone = attach(marked, shared, ["doc_id"], "left_anti").select(F.col("doc_id").alias("node"), "text")
+        texts = alone.unionAll(_with_node(attach(marked, shared, ["doc_id"], "left_semi"), shared).select("node", "text").dropDuplicates(["node"]))
     prefixes = staged(shingle_prefixes(texts, similarity), "prefixes")
     sets = staged(prefixes.groupBy("mark", "size").agg(F.min("node").alias("first")), "sets")
     equal = prefixes.join(sets, ["mark", "size"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -484,6 +512,7 @@ def similar_groups(
     found = true_links(texts, pairs, similarity)
     groups = staged(connected_components(found), "groups")
     rare = shared_tokens(attach(prefixes, sets.select(F.col("first").alias("node")), ["node"], "left_semi"))
+    discard(prefixes)
     for star in (True, False):
         pairs = staged(crossing_pairs(crossing_tokens(rare, groups), similarity, star=star), "pairs")
         found = found.unionAll(true_links(texts, pairs, similarity))
