@@ -52,35 +52,96 @@ def _beside(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str) ->
     return rows.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def prefix_sums(
+def _offsets(ranged: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """What each range adds to the running sums of ``__x_<name>``: the totals of the key's earlier ranges."""
+    groups = [*keys, _RANGE]
+    totals = ranged.groupBy(*groups).agg(*[F.sum(f"__x_{name}").alias(f"__t_{name}") for name in names], F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        totals.withColumns({f"__o_{name}": F.sum(f"__t_{name}").over(before) for name in names} | {"__rows": F.sum("__rows").over(before)})
+        .filter(F.col("__rows").isNotNull()).select(*groups, *[f"__o_{name}" for name in names])
+    )
+
+
+def _context(ranged: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, columns: Sequence[str]) -> DataFrame:
+    """The last ``k`` rows before each range of a key that has earlier ones, under that range."""
+    groups = [*keys, _RANGE]
+    # Keys of more than one range: at most one for each end of a range.
+    wide = ranged.groupBy(*keys).agg(F.min(_RANGE).alias("__first"), F.max(_RANGE).alias("__last"))
+    wide = wide.filter("__first < __last").drop("__first", "__last") if keys else None
+    spread = _beside(ranged, wide, keys, "left_semi") if keys else ranged
+    newest = Window.partitionBy(*groups).orderBy(*[F.col(c).desc() for c in order])
+    tails = spread.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= k).drop("__r")
+    # At most k rows per range are left, so this window per key is bounded.
+    along = Window.partitionBy(*keys).orderBy(_RANGE, *_order(order))
+    first = Window.partitionBy(*groups).orderBy(*_order(order))
+    others = [c for c in columns if c not in keys]
+    return (
+        tails.withColumns(
+            {
+                "__ctx": F.collect_list(F.struct(*others)).over(along.rowsBetween(-k, -1)),
+                "__r": F.row_number().over(first),
+            }
+        )
+        .filter(F.col("__r") == 1)
+        .select(*groups, F.explode("__ctx").alias("__c"))
+        .select(*groups, *[F.col("__c")[c].alias(c) for c in others])
+    )
+
+
+def frames(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column],
+    columns: Mapping[str, Callable[[WindowSpec], Column]],
+    k: int = 0,
     *,
     inclusive: bool = True,
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """Add running sums along ``order`` within ``keys`` (all rows when empty)."""
+    """Add running ``sums`` and trailing ``columns`` along ``order`` within ``keys``, all from one layout.
+
+    The rows are dealt to ranges once and sorted within them once, whatever the
+    number of columns. Running sums are ``sums`` of all rows up to the row
+    (before it, unless ``inclusive``); each entry of ``columns`` maps the
+    ordered window (without a frame) to a column whose frame reaches at most
+    ``k`` rows back.
+    """
     ranged = _ranges(df, keys, order, rows_per_block).withColumns({f"__x_{name}": e for name, e in sums.items()})
-    groups = [*keys, _RANGE]
-    totals = ranged.groupBy(*groups).agg(*[F.sum(f"__x_{name}").alias(f"__t_{name}") for name in sums], F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        totals.withColumns({f"__o_{name}": F.sum(f"__t_{name}").over(before) for name in sums} | {"__rows": F.sum("__rows").over(before)})
-        .filter(F.col("__rows").isNotNull()).select(*groups, *[f"__o_{name}" for name in sums])
-    )
-    local = (
-        Window.partitionBy(*groups).orderBy(*_order(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    groups, both = [*keys, _RANGE], ranged
+    spec = Window.partitionBy(*groups).orderBy(*_order(order))
+    if columns:
+        context = _context(ranged, keys, order, k, df.columns)
+        both = ranged.withColumn("__is_ctx", F.lit(False)).unionByName(context.withColumn("__is_ctx", F.lit(True)), allowMissingColumns=True)
+        # Context rows come first, also where they tie with the range's own rows; they hold no sums.
+        spec = Window.partitionBy(*groups).orderBy(F.col("__is_ctx").desc(), *_order(order))
+    local = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    out = both.withColumns(
+        {name: make(spec) for name, make in columns.items()} | {f"__l_{name}": F.sum(f"__x_{name}").over(local) for name in sums}
     )
+    if columns:
+        out = out.filter(~F.col("__is_ctx"))
+    if sums:
+        out = _beside(out, _offsets(ranged, keys, list(sums)), groups, "left")
     zero = F.lit(0)
-    out = ranged.withColumns({f"__l_{name}": F.sum(f"__x_{name}").over(local) for name in sums})
-    out = _beside(out, offsets, groups, "left")
     out = out.withColumns(
         {name: F.coalesce(F.col(f"__l_{name}"), zero) + F.coalesce(F.col(f"__o_{name}"), zero) for name in sums}
     )
-    return out.select(*df.columns, *sums)
+    return out.select(*df.columns, *sums, *columns)
+
+
+def prefix_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, Column],
+    *,
+    inclusive: bool = True,
+    rows_per_block: int | None = None,
+) -> DataFrame:
+    """Add running sums along ``order`` within ``keys`` (all rows when empty)."""
+    return frames(df, keys, order, sums, {}, inclusive=inclusive, rows_per_block=rows_per_block)
 
 
 def trailing(
@@ -97,34 +158,7 @@ def trailing(
     Each entry of ``columns`` maps the ordered window (without a frame) to a
     column, for instance ``lambda w: F.avg("x").over(w.rowsBetween(-5, -1))``.
     """
-    ranged = _ranges(df, keys, order, rows_per_block)
-    groups = [*keys, _RANGE]
-    # Keys of more than one range: at most one for each end of a range.
-    wide = ranged.groupBy(*keys).agg(F.min(_RANGE).alias("__first"), F.max(_RANGE).alias("__last"))
-    wide = wide.filter("__first < __last").drop("__first", "__last") if keys else None
-    spread = _beside(ranged, wide, keys, "left_semi") if keys else ranged
-    newest = Window.partitionBy(*groups).orderBy(*[F.col(c).desc() for c in order])
-    tails = spread.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= k).drop("__r")
-    # At most k rows per range are left, so this window per key is bounded.
-    along = Window.partitionBy(*keys).orderBy(_RANGE, *_order(order))
-    first = Window.partitionBy(*groups).orderBy(*_order(order))
-    others = [c for c in df.columns if c not in keys]
-    context = (
-        tails.withColumns(
-            {
-                "__ctx": F.collect_list(F.struct(*others)).over(along.rowsBetween(-k, -1)),
-                "__r": F.row_number().over(first),
-            }
-        )
-        .filter(F.col("__r") == 1)
-        .select(*groups, F.explode("__ctx").alias("__c"))
-        .select(*groups, *[F.col("__c")[c].alias(c) for c in others])
-    )
-    both = ranged.withColumn("__is_ctx", F.lit(False)).unionByName(context.withColumn("__is_ctx", F.lit(True)))
-    # Context rows come first, also where they tie with the range's own rows.
-    spec = Window.partitionBy(*groups).orderBy(F.col("__is_ctx").desc(), *_order(order))
-    out = both.withColumns({name: make(spec) for name, make in columns.items()})
-    return out.filter(~F.col("__is_ctx")).select(*df.columns, *columns)
+    return frames(df, keys, order, {}, columns, k, rows_per_block=rows_per_block)
 
 
 def with_ordinal(

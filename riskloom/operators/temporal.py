@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
 from riskloom.functions.scalars import calendar_buckets
-from riskloom.operators.ordered import prefix_sums, trailing
+from riskloom.operators.ordered import frames, trailing
 from riskloom.operators.rows import with_row
 from riskloom.operators.segments import rates_by_sets, with_risk
 
@@ -151,12 +151,9 @@ def prior_windows(
     names = {"mean": f"{key}_{value}_prior_mean", "count": f"{key}_{value}_prior_count", "roll": f"{key}_{value}_roll_mean"}
     known, unknown = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
     v = F.col(value).cast("double")
-    out = prefix_sums(
+    out = frames(
         known, [key], order, {"__s": F.coalesce(v, F.lit(0.0)), "__c": v.isNotNull().cast("long")},
-        inclusive=False, rows_per_block=rows_per_block,
-    )
-    out = trailing(
-        out, [key], order, width, {"__r": lambda w: F.avg(v).over(w.rowsBetween(-width, -1))}, rows_per_block=rows_per_block
+        {"__r": lambda w: F.avg(v).over(w.rowsBetween(-width, -1))}, width, inclusive=False, rows_per_block=rows_per_block,
     )
     zero = F.lit(0.0)
     out = out.withColumns(

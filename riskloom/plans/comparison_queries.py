@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import correlation, drift, interact, joins, profile, sets, stats
+from riskloom.operators import correlation, drift, interact, joins, profile, sets, sketches, stats
 from riskloom.operators.rows import with_row
 from riskloom.plans.profile_queries import _TXN_BAND, _TXN_TEXTS, _round, _txn_band, long_sql
 from riskloom.plans.registry import query
 from riskloom.plans.views import (
     DOC_SQL, EV_SQL, LINE_SQL, TEST_SQL, TRAIN_SQL, TXN_SQL, doc, ev, line, table, txn,
 )
+from riskloom.session import work_path
 
 # A pair with real drift: line items of early and late parts, one price scaled.
 _NUM = ["qty", "price", "disc", "tax"]
@@ -39,7 +40,7 @@ def _psi_sql(kind: str, columns: str = "'qty', 'price', 'disc', 'tax'") -> str:
         cell = "1 + len([x FOR x IN e[2:len(e)-1] IF value >= x])"
     else:
         cell = "1 + len([x FOR x IN e[2:len(e)-1] IF value > x])"
-    norm = kind != "monitor"
+    norm = kind not in ("monitor", "right")
     cells = f"""c AS (SELECT feature, side, {cell} AS cell, count(*) AS n FROM l JOIN e USING (feature) GROUP BY 1, 2, 3)"""
     if kind == "monitor":
         cells = f"""k AS (SELECT feature, count(DISTINCT value) AS k FROM l WHERE side = 0 GROUP BY 1),
@@ -167,6 +168,47 @@ def stability_report(spark, d):
     return _round(drift.stability_report(drift.numeric_psi(a, b, _NUM, drift.OPEN_LEFT), drift.ks_two_sample(a, b, _NUM)))
 
 
+def _saved_profile(spark, df, slices):
+    """The profile of ``df`` as a job of every slice would have left it: two writes, one slice written again."""
+    path, rows = work_path(spark, "profile"), sketches.profile(df, _NUM, ["status"], slices)
+    sketches.save_profile(rows.filter("slice <> '2'"), path)
+    sketches.save_profile(rows.filter("slice in ('1', '2')"), path)
+    return sketches.merge_profiles(sketches.read_profile(spark, path))
+
+
+@query(
+    "drift_profile",
+    f"""SELECT feature, count(*) AS n_rows, count(*) - count(value) AS n_missing, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
+        min(value) AS low, max(value) AS high, true AS distinct_within FROM {long_sql(_A, _NUM, 'DOUBLE')} GROUP BY 1
+        UNION ALL SELECT 'status', count(*), count(*) - count(status), NULL, NULL, NULL, NULL, true FROM {_A}""",
+)
+def drift_profile(spark, d):
+    a, _ = _ab(spark, d)
+    exact = a.agg(*[F.count_distinct(c).alias(c) for c in [*_NUM, "status"]])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in [*_NUM, "status"]])))
+    out = sketches.summary(_saved_profile(spark, a, F.col("orderkey") % 4)).join(exact, "feature")
+    within = F.abs(F.col("n_distinct") - F.col("n")) <= F.greatest(F.lit(1.0), 0.06 * F.col("n"))
+    return _round(out.select("feature", "n_rows", "n_missing", "mean", "std", "low", "high", within.alias("distinct_within")), 4)
+
+
+@query(
+    "profile_drift_report",
+    f"""SELECT feature, round(psi, 6) AS exact_psi, round(ks, 6) AS exact_ks, true AS psi_within, true AS ks_within FROM {_psi_sql('right')} JOIN {_ks_sql(_KS_AB)} USING (feature)
+        UNION ALL SELECT feature, round(psi, 6), 0, true, true FROM {_cat_psi_sql(_A, _B, ['status'], False)}""",
+)
+def profile_drift_report(spark, d):
+    """Drift from two saved profiles, and whether it lies within its stated error of the exact one."""
+    a, b = _ab(spark, d)
+    slices = F.col("orderkey") % 4
+    report = sketches.compare_profiles(_saved_profile(spark, a, slices), _saved_profile(spark, b, slices))
+    rule = drift.PsiRule(closed="right", open_ends=True, renormalise=False)
+    exact = drift.numeric_psi(a, b, _NUM, rule).join(drift.ks_two_sample(a, b, _NUM).select("feature", "ks"), "feature")
+    exact = exact.unionByName(drift.categorical_psi(a, b, ["status"], drift.PsiRule(renormalise=False)).withColumn("ks", F.lit(0.0)))
+    exact = exact.select("feature", F.col("psi").alias("exact_psi"), F.col("ks").alias("exact_ks"))
+    within = lambda name: (F.abs(F.col(name) - F.col(f"exact_{name}")) <= F.col(f"{name}_error") + 1e-9).alias(f"{name}_within")
+    return _round(report.join(exact, "feature").select("feature", "exact_psi", "exact_ks", within("psi"), within("ks")))
+
+
 @query("data_drift_monitor", f"SELECT feature, round(psi, 6) AS psi, psi >= 0.2 AS is_drifted FROM {_psi_sql('monitor')}")
 def data_drift_monitor(spark, d):
     return _round(drift.data_drift_monitor(*_ab(spark, d), _NUM))
