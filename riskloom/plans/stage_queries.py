@@ -374,3 +374,17 @@ def governed_feature_view(spark, d):
     view = store.FeatureView("line_view", "orderkey", ("price", "qty"), "v1", "line features", "lineitem", "aggregate", ("reviewed",))
     written = store.ingest(a, view, base)
     return quality.missing_report(written, view.features).select("feature", "n_rows")
+
+
+@query(
+    "governed_feature_views",
+    f"""SELECT view, unnest(['price', 'qty']) AS feature, n AS n_rows FROM (SELECT 'early' AS view, count(*) AS n FROM {_A} UNION ALL SELECT 'late', count(*) FROM {_B})""",
+)
+def governed_feature_views(spark, d):
+    """Both sides of the table, each ingested whole as a view of its own."""
+    base, out = work_path(spark, "governed"), None
+    for name, df in zip(("early", "late"), _ab(spark, d)):
+        view = store.FeatureView(name, "orderkey", ("price", "qty"), "v1", "line features", "lineitem", "aggregate", ("reviewed",))
+        report = quality.missing_report(store.ingest(df, view, base), view.features).select(F.lit(name).alias("view"), "feature", "n_rows")
+        out = report if out is None else out.unionByName(report)
+    return out
