@@ -37,10 +37,11 @@ _IPV4 = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Candidates beyond the patterns above.
-_NUMBER = re.compile(r"(?<![\w+])[(+]?[0-9][0-9 ().-]{5,40}[0-9](?!\w)")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,200}(?![A-Za-z0-9_+/=-])")
-_SPELLED = re.compile(r"[\w.+-]{1,64}\s?(?:\[at\]|\(at\)|\bat\b|@)\s?[\w-]{1,64}(?:\s?(?:\[dot\]|\(dot\)|\bdot\b|\.)\s?[\w-]{2,64}){1,4}", re.I)
+#: Candidates beyond the patterns above, of any length; possessive runs keep long ones linear.
+_NUMBER = re.compile(r"(?<![\w+])[(+]?[0-9](?:[ ().-]*+[0-9])+(?!\w)")
+NUMBER_CHARS = 7
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
+_SPELLED = re.compile(r"(?<![\w.+-])[\w.+-]++\s?(?:\[at\]|\(at\)|\bat\b|@)\s?[\w-]++(?:\s?(?:\[dot\]|\(dot\)|\bdot\b|\.)\s?[\w-]{2,}+)+", re.I)
 _SPELLED_MARK = re.compile(r"[\[(](?:at|dot)[\])]|\bdot\b|@", re.I)
 
 #: Gazetteers.
@@ -102,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """``(start, end, base kind or ABSTAIN)``: pattern matches, and likely spans that overlap none of them."""
     taken = sorted((s, e) for _, s, e in base)
-    more = [m.span() for m in _NUMBER.finditer(text)]
+    more = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= NUMBER_CHARS]
     more += [m.span() for m in _OPAQUE.finditer(text)
              if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
     if _SPELLED_MARK.search(text):

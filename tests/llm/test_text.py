@@ -292,3 +292,11 @@ def test_reliable_labelers_win():
 def test_no_personal_data(spark):
     assert pii.find(documents(spark, [])).collect() == []
     assert [tuple(r) for r in pii.find(documents(spark, [(1, "nothing", "en", "a")])).collect()] == [(1, 0, 0, 0, 0, "", "")]
+
+
+def test_candidates_have_no_longest_length():
+    key, digits = "Ab3/" * 1_250, "12-34 " * 20 + "5"
+    mail = "n" * 300 + " [at] " + "d" * 300 + " [dot] org"
+    text = f"token {key} and call {digits} or {mail} now"
+    found = {text[a:b] for a, b, _ in pii.candidates(text, [])}
+    assert {key, digits, mail} <= found
