@@ -23,11 +23,15 @@ REPEAT_PERCENT = 30
 #: Share of a group that the estimate rests on, and concentration steps.
 SUBSET = 0.75
 STEPS = 3
-#: Groups below this size use their language's estimate, and languages the overall one.
+#: Groups below this size share the estimate of their language's small groups, and pools below it that of all documents.
 MIN_GROUP = 50
+#: The group number of the estimate from all documents.
+EVERYONE = 0
 #: Standard deviations added to each statistic: differences of this size are never telling.
 FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.1, "x_lines": 0.1, "x_repeats": 0.15}
 DIMS = list(FLOORS)
+#: A covariance determinant is defined from more than twice as many rows as statistics.
+MIN_ROWS = 2 * len(DIMS) + 1
 #: Median and 1 - 10^-6 quantile of the chi-square distribution with five degrees of freedom.
 CHI_MEDIAN, CHI_LIMIT = 4.3515, 35.89
 
@@ -96,13 +100,13 @@ def _exact_sum(value: Column) -> Column:
 
 
 def _group_ids(rows: DataFrame) -> DataFrame:
-    """``(lang, source, gid)``: own group, or the pool of its language, or of all small ones."""
+    """``(lang, source, gid)``: own group, or the pool of its language's small ones, or ``EVERYONE``."""
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.filter(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("pool"))
     small = small.withColumnRenamed("lang", "__lang")
     sizes = sizes.join(small, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     gid = F.when(F.col("n") >= MIN_GROUP, F.xxhash64(F.lit(2), "lang", "source")).when(
-        F.col("pool") >= MIN_GROUP, F.xxhash64(F.lit(1), "lang")).otherwise(F.lit(0).cast("long"))
+        F.col("pool") >= MIN_GROUP, F.xxhash64(F.lit(1), "lang")).otherwise(F.lit(EVERYONE).cast("long"))
     return sizes.select("lang", "source", gid.alias("gid"))
 
 
@@ -163,7 +167,16 @@ def outliers(rows: DataFrame) -> DataFrame:
     factor = staged(now.groupBy("gid").agg(
         F.count(F.lit(1)).alias("size"), (F.exp(F.percentile(_log_d2(), F.lit(0.5))) / CHI_MEDIAN).alias("factor")), "factor")
     out = attach(now, factor, ["gid"])
-    return out.withColumn("d2", F.when(F.col("size") >= MIN_GROUP, F.col("d2") / F.greatest(F.col("factor"), F.lit(1.0))).otherwise(0.0))
+    return out.withColumn("d2", F.when(F.col("size") >= MIN_ROWS, F.col("d2") / F.greatest(F.col("factor"), F.lit(1.0))).otherwise(0.0))
+
+
+def _with_everyone(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``judged``; if a group needs the estimate of all documents, the other rows join it unjudged."""
+    rows = rows.withColumn("judged", F.lit(True))
+    if groups.filter(F.col("gid") == EVERYONE).isEmpty():
+        return rows
+    others = rows.filter(F.col("gid") != EVERYONE)
+    return rows.unionByName(others.withColumns({"gid": F.lit(EVERYONE).cast("long"), "judged": F.lit(False)}))
 
 
 def judge(docs: DataFrame, limit: float = CHI_LIMIT) -> DataFrame:
@@ -175,13 +188,16 @@ def judge(docs: DataFrame, limit: float = CHI_LIMIT) -> DataFrame:
     of the group, also on those that failed.
 
     Null and empty texts have no words and fail. A null language or source is
-    a group like any other. Groups below ``MIN_GROUP`` rows share an estimate,
-    and a pool below it rejects nothing. Null and repeated ids keep a row each.
+    a group like any other. Groups below ``MIN_GROUP`` rows share the estimate
+    of the small groups of their language; where these are fewer too, that of
+    all documents. Only a table below ``MIN_ROWS`` rows, for which the
+    determinant is not defined, rejects nothing. Null and repeated ids keep a
+    row each.
     """
     stats = statistics(docs)
     rows = staged(stats.select("*", *[c.alias(n) for n, c in vectors().items()]), "statistics")
-    rows = attach(rows, staged(_group_ids(rows), "groups"), ["lang", "source"])
-    far = outliers(rows)
+    groups = staged(_group_ids(rows), "groups")
+    far = outliers(_with_everyone(attach(rows, groups, ["lang", "source"]), groups)).filter("judged")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       failed.alias("base_failed"), (~failed & (F.col("d2") <= limit)).alias("kept"), F.col("d2").alias("distance"))

@@ -144,6 +144,20 @@ def test_few_documents_reject_none(spark):
     assert all(r["kept"] for r in quality.judge(documents(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("n", [20, 49, 51])
+def test_one_verdict_around_the_smallest_group(spark, n):
+    rows = [(i, prose(i, 60), "en", "a") for i in range(n)] + [(9_000, "#" * 500 + " " + prose(1, 60), "en", "a")]
+    found = {r["doc_id"]: r["kept"] for r in quality.judge(documents(spark, rows)).collect()}
+    assert found == {**{i: True for i in range(n)}, 9_000: False}
+
+
+def test_small_groups_are_set_against_all_documents(spark):
+    rows = [(i, prose(i, 60), "en", "a") for i in range(80)] + [(100 + i, prose(i + 7, 60), "de", str(i)) for i in range(3)]
+    rows.append((9_000, "#" * 500 + " " + prose(1, 60), "fr", "z"))
+    found = {r["doc_id"]: r["kept"] for r in quality.judge(documents(spark, rows)).collect()}
+    assert len(found) == 84 and [i for i, kept in found.items() if not kept] == [9_000]
+
+
 # decontamination
 
 
