@@ -132,6 +132,25 @@ def stream_adaptive_threshold(spark, d):
     return _round(spark.read.parquet(out))
 
 
+_CLOSED = f"(SELECT * FROM {_RATES} WHERE (bucket + 1) * 86400 <= (SELECT max(dt) - 2 * 86400 FROM {EV_SQL}))"
+
+
+@query("stream_thresholds_from_events", _FOLD.replace(_RATES, _CLOSED))
+def stream_thresholds_from_events(spark, d):
+    """Raw events in, half of one day arriving after newer events; thresholds of closed days out."""
+    out = work_path(spark, "event-thresholds")
+    events = ev(spark, d).select("id", "dt", (F.col("key") % 7).alias("policy"), ((F.col("y") == 1) & (F.col("amt") > 100)).alias("hit"), F.timestamp_seconds("dt").alias("ts"))
+    early = (F.col("dt") < _CUT - 86_400) | ((F.col("dt") < _CUT) & (F.col("id") % 2 == 1))
+
+    def start(stream):
+        found = scoring.thresholds_from_events(stream, "policy", "ts", F.col("hit"))
+        return found.writeStream.outputMode("append").format("parquet").option("path", out)
+
+    with scoring.rocks_state(spark):
+        replay.replay([events.filter(early), events.filter(~early)], start)
+    return _round(spark.read.parquet(out).select("policy", F.floor(F.col("start") / 86_400).alias("bucket"), "threshold"))
+
+
 @query("stream_drift_monitor")
 def stream_drift_monitor(spark, d):
     out = work_path(spark, "drift")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
 from riskloom.functions.scalars import project_features
@@ -110,3 +112,75 @@ def threshold_stream(rates: DataFrame, policy: str, bucket: str, rate: str) -> D
     return staged.groupBy("policy").applyInPandasWithState(
         advance, "policy long, bucket long, threshold double", "t double", "append", "NoTimeout"
     )
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which named states and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class ThresholdPolicy(StatefulProcessor):
+    """The threshold of one policy.
+
+    Closed buckets wait under their end until event time has passed it; a
+    timer then applies all that wait up to there, in order of time, however
+    the rows arrived.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.threshold = handle.getValueState("threshold", "t double")
+        self.waiting = handle.getMapState("waiting", "ends long", "start long, rate double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            self.waiting.updateValue((row["ends"],), (row["start"], row["rate"]))
+            self.handle.registerTimer(row["ends"])
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = sorted((k[0], *v) for k, v in self.waiting.iterator() if k[0] <= expiredTimerInfo.getExpiryTimeInMs())
+        t = self.threshold.get()[0] if self.threshold.exists() else START
+        out = []
+        for ends, start, rate in due:
+            t = max(LOWEST, t - STEP) if rate > MANY else min(HIGHEST, t + STEP) if rate < FEW else t
+            self.waiting.removeKey((ends,))
+            out.append(Row(policy=key[0], start=start, threshold=t))
+        if due:
+            self.threshold.update((t,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def thresholds_from_events(events: DataFrame, policy: str, ts: str, hit: Column, width: str = "1 day", delay: str = "2 days") -> DataFrame:
+    """``(policy, start, threshold)`` per closed bucket of an event stream; ``start`` in epoch seconds.
+
+    Events are counted per policy and bucket first, with partial sums before
+    the shuffle, so a hot policy sends one row a bucket to its state. An event
+    later than ``delay`` behind the newest one is dropped; a bucket is
+    published once, when event time has passed its end by ``delay``. A null
+    policy or time is dropped, a null ``hit`` counts as no hit. Start the
+    stream inside ``rocks_state``.
+    """
+    marked = events.select(F.col(policy).cast("long").alias("policy"), F.col(ts).alias("at"), F.coalesce(hit.cast("int"), F.lit(0)).alias("hit"))
+    marked = marked.filter(F.col("policy").isNotNull() & F.col("at").isNotNull()).withWatermark("at", delay)
+    rates = marked.groupBy("policy", F.window("at", width)).agg(F.avg("hit").alias("rate"))
+    staged = rates.select(
+        "policy", F.window_time("window").alias("at"), F.unix_seconds("window.start").alias("start"),
+        (F.unix_seconds("window.end") * 1000).alias("ends"), "rate",
+    )
+    return staged.groupBy("policy").transformWithState(
+        ThresholdPolicy(), "policy long, start long, threshold double", "append", "eventTime"
+    )
