@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import quality
@@ -9,11 +11,11 @@ from riskloom.operators.sets import stack
 from riskloom.plans.comparison_queries import _A, _B, _LCOLS, _LEAK, _ab, _leak, _pairs_sql, _psi_sql
 from riskloom.plans.model_queries import FEATURES, learnable
 from riskloom.plans.profile_queries import _round, _txn_band, long_sql
-from riskloom.plans.registry import query
+from riskloom.plans.registry import ORACLES, query
 from riskloom.plans.segment_queries import _LABELLED, _labelled, _MVT
 from riskloom.plans.views import DOC_SQL, EV_SQL, LINE_SQL, SCORES_SQL, TEST_SQL, TRAIN_SQL, TXN_SQL, doc, ev, line, scores, txn
 from riskloom.session import work_path
-from riskloom.sources import store
+from riskloom.sources import governance, store
 from riskloom.stages import analysis, features, modelling
 
 COLUMNS = features.Columns("id", "dt", "amt", "y", ["key"], ["product"])
@@ -388,3 +390,24 @@ def governed_feature_views(spark, d):
         report = quality.missing_report(store.ingest(df, view, base), view.features).select(F.lit(name).alias("view"), "feature", "n_rows")
         out = report if out is None else out.unionByName(report)
     return out
+
+
+@query(
+    "governed_verdicts",
+    f"""SELECT CASE WHEN feature IN ('price', 'qty') THEN 'amounts' ELSE 'shares' END AS view, CASE WHEN feature IN ('price', 'qty') THEN 'v2' ELSE 'v1' END AS version,
+        CASE WHEN feature IN ('price', 'qty') THEN 3 ELSE 2 END::BIGINT AS commit, * FROM ({ORACLES['governance_audit']})""",
+)
+def governed_verdicts(spark, d):
+    """Verdicts of two views read back from the registry: the second writer starts stale and retries, then a new version of the first follows."""
+    a, b = _ab(spark, d)
+    registry = governance.VerdictRegistry(spark, work_path(spark, "verdicts"))
+    amounts = store.FeatureView("amounts", "orderkey", ("price", "qty"))
+    seen = registry.version()
+    registry.commit(governance.view_verdicts(a, b, amounts), seen)
+    shares = governance.view_verdicts(a, b, store.FeatureView("shares", "orderkey", ("disc", "tax")))
+    try:
+        registry.commit(shares, seen)
+    except governance.Conflict:
+        registry.publish(shares)
+    registry.publish(governance.view_verdicts(a, b, replace(amounts, version="v2")))
+    return _round(registry.current(), variance=4)
