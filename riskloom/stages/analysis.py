@@ -33,6 +33,32 @@ def row_counts(reports: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def report_values(reports: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """All values of a run as ``(report, item, metric, number, text)``.
+
+    ``item`` joins the report's key columns by ``|``; a null key is left out.
+    Numbers and booleans go to ``number``, the rest to ``text``; a null value
+    has no row.
+    """
+    out = None
+    for name, df in reports.items():
+        own = list(keys[name])
+        cells = []
+        for column in df.schema:
+            if column.name in own:
+                continue
+            value, is_text = F.col(f"`{column.name}`"), column.dataType.typeName() == "string"
+            cells.append(F.struct(
+                F.lit(column.name).alias("metric"), (F.lit(None) if is_text else value).cast("double").alias("number"),
+                (value if is_text else F.lit(None)).cast("string").alias("text"),
+            ))
+        item = F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in own]).alias("item")
+        rows = df.select(F.lit(name).alias("report"), item, F.explode(F.array(*cells)).alias("c")).select("report", "item", "c.*")
+        rows = rows.filter(F.col("number").isNotNull() | F.col("text").isNotNull())
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def target_reports(df: DataFrame, target: str, dt: str, amount: str, identity: Sequence[str], numeric: Sequence[str]) -> Reports:
     return {
         "distribution": segments.class_distribution(df, target),
