@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.plans import evaluation_queries  # noqa: F401  registers SQL that is used below
 from riskloom.plans.comparison_queries import _A, _B, _ICOLS, _NUM, _ab, _cat_psi_sql
 from riskloom.plans.profile_queries import _round, long_sql
 from riskloom.plans.registry import ORACLES, query
 from riskloom.plans.segment_queries import _EV_A, _EVB, _bucket_sql, _evb, rates_sql
-from riskloom.plans.views import EV_SQL, LINE_FEATURES, LINE_SQL, ev
-from riskloom.stages import analysis
+from riskloom.plans.views import EV_SQL, LINE_FEATURES, LINE_SQL, ev, line, scores
+from riskloom.stages import analysis, modelling
 
 
 def values_sql(reports: dict[str, tuple[str, list[str], list[str]]]) -> str:
@@ -127,3 +128,40 @@ _INTERACTION = {
 def interaction_analysis_values(spark, d):
     reports = analysis.interaction_reports(*_ab(spark, d), _ICOLS, "y")
     return _values(reports, _INTERACTION, {"separation": {"digits": 4}, "strength": {"digits": 8}, "recommended": {"digits": 8}})
+
+
+# --- numbers ---------------------------------------------------------------------------------
+
+_NUMERICAL = {
+    "distributions": (_swap("numeric_statistics", long_sql(LINE_SQL, LINE_FEATURES, "DOUBLE"), long_sql(LINE_SQL, _NUM, "DOUBLE")), ["feature"], []),
+    "outliers": (ORACLES["outlier_report"], ["feature"], []),
+    "shape": (f"SELECT * FROM ({ORACLES['distribution_shape']}) WHERE feature <> 'linenumber'", ["feature"], ["shape"]),
+}
+
+
+@query("numerical_analysis_values", values_sql(_NUMERICAL))
+def numerical_analysis_values(spark, d):
+    """Statistics, outliers and shape; advice on transformations has a query of its own over columns that need some."""
+    reports = analysis.numerical_reports(line(spark, d), _NUM)
+    digits = {"distributions": {"digits": 4, "variance": 2, "low": 6, "high": 6, "mode": 6}, "shape": {"digits": 4}}
+    return _values({name: reports[name] for name in _NUMERICAL}, _NUMERICAL, digits)
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+_EVALUATION = {
+    "curve": (ORACLES["curve_metrics"], [], []),
+    "threshold": (ORACLES["threshold_metrics"], [], []),
+    "calibration": (ORACLES["calibration"], [], []),
+    "lift": (ORACLES["lift_gain_deciles"], ["decile"], []),
+    "sweep": (ORACLES["threshold_sweep"], ["threshold"], []),
+    "business": (ORACLES["business_value"], [], []),
+    "errors": (ORACLES["hard_errors"], ["kind", "orderkey", "linenumber"], []),
+    "error_summary": (ORACLES["error_summary"], [], []),
+}
+
+
+@query("evaluation_stage_values", values_sql(_EVALUATION))
+def evaluation_stage_values(spark, d):
+    reports = modelling.evaluation_reports(scores(spark, d), "amount", ["orderkey", "linenumber", "amount"], ["orderkey", "linenumber", "y"])
+    return _values(reports, _EVALUATION, {"business": {"digits": 2}})
