@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.plans import evaluation_queries  # noqa: F401  registers SQL that is used below
-from riskloom.plans.comparison_queries import _A, _B, _ICOLS, _NUM, _ab, _cat_psi_sql
+from riskloom.plans.comparison_queries import _A, _B, _ICOLS, _LCOLS, _LEAK, _LEAK_P, _NUM, _ab, _cat_psi_sql
 from riskloom.plans.profile_queries import _round, long_sql
 from riskloom.plans.registry import ORACLES, query
 from riskloom.plans.segment_queries import _EV_A, _EVB, _bucket_sql, _evb, rates_sql
@@ -165,3 +165,37 @@ _EVALUATION = {
 def evaluation_stage_values(spark, d):
     reports = modelling.evaluation_reports(scores(spark, d), "amount", ["orderkey", "linenumber", "amount"], ["orderkey", "linenumber", "y"])
     return _values(reports, _EVALUATION, {"business": {"digits": 2}})
+
+
+# --- leakage ---------------------------------------------------------------------------------
+
+_LINES = f"SELECT *, y + disc * 0.01 AS refund_amount, y * 2.0 + tax AS proxy, qty AS settlement_lag FROM {LINE_SQL}"
+_LINES_A, _LINES_B = (f"({_LINES} WHERE partkey % 3 {sign} 0)" for sign in ("<>", "="))
+_SAME = f"(SELECT count(*) FROM {_LINES_A} a JOIN {_LINES_B} b USING (orderkey, qty))"
+_OVERLAP = f"""SELECT 'status' AS feature, count(DISTINCT a.status) AS n_train, (SELECT count(DISTINCT status) FROM {_LINES_B}) AS n_test,
+    count(DISTINCT a.status) FILTER (WHERE a.status IN (SELECT status FROM {_LINES_B})) AS n_shared, round(100.0 * n_shared / n_train, 6) AS overlap_pct,
+    CASE WHEN 100.0 * n_shared / n_train > 90 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS level FROM {_LINES_A} a"""
+_LEAKAGE = {
+    "inventory": (f"""SELECT feature, CASE WHEN feature = 'status' THEN 'text' ELSE 'numeric' END AS kind, count(DISTINCT value) AS n_unique
+        FROM {long_sql(_LINES_A, [*_LCOLS, 'status'])} GROUP BY 1""", ["feature"], ["kind"]),
+    "leaking": (_swap("leaking_columns", _LEAK, _LINES_A), ["feature"], []),
+    "target": (_swap("target_leakage", _LEAK, _LINES_A), ["feature"], ["severity"]),
+    "time": (f"SELECT feature, round(corr(value, orderkey), 6) AS time_correlation FROM {long_sql(_LINES_A, _LCOLS, 'DOUBLE', 'orderkey')} GROUP BY 1", ["feature"], []),
+    "overlap": (_OVERLAP, ["feature"], ["level"]),
+    "duplicates": (f"""SELECT a AS train_rows, b AS test_rows, n AS duplicate_matches, round(n / a::DOUBLE, 6) AS overlap_fraction, CASE WHEN n / a::DOUBLE > 0.05 THEN 'CRITICAL' ELSE 'SAFE' END AS risk
+        FROM (SELECT {_SAME} AS n, (SELECT count(*) FROM {_LINES_A}) AS a, (SELECT count(*) FROM {_LINES_B}) AS b)""", [], ["risk"]),
+    "risk": (f"""SELECT feature, round(r, 6) AS correlation, p AS leakage_probability, round(score, 4) AS score,
+        CASE WHEN score > 80 THEN 'CRITICAL LEAK' WHEN score > 50 THEN 'HIGH RISK' WHEN score > 20 THEN 'MODERATE RISK' ELSE 'STABLE / LOW RISK' END AS category FROM (
+        SELECT feature, abs(r) AS r, p, least(100, p * 60 + abs(r) * 30 + 10 * {_SAME} / (SELECT count(*) FROM {_LINES_A})::DOUBLE) AS score FROM {_LEAK_P.replace(_LEAK, _LINES_A)}
+        UNION ALL SELECT 'status', 0, 0, 10 * n_shared / n_train::DOUBLE FROM ({_OVERLAP}))""", ["feature"], ["category"]),
+}
+
+
+@query("leakage_analysis_values", values_sql(_LEAKAGE))
+def leakage_analysis_values(spark, d):
+    lines = line(spark, d).withColumns({
+        "refund_amount": F.col("y") + F.col("disc") * 0.01, "proxy": F.col("y") * 2.0 + F.col("tax"), "settlement_lag": F.col("qty"),
+    })
+    train, test = lines.filter("partkey % 3 <> 0"), lines.filter("partkey % 3 = 0")
+    reports = analysis.leakage_reports(train, test, _LCOLS, "status", "y", "orderkey", ["orderkey", "qty"])
+    return _values(reports, _LEAKAGE, {"risk": {"score": 4}})

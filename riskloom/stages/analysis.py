@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.bands import classify
 from riskloom.functions.binning import amount_bin
-from riskloom.operators import correlation, drift, interact, profile, quality, segments, stats, temporal
+from riskloom.operators import correlation, drift, interact, joins, profile, quality, segments, sets, stats, temporal
 from riskloom.sources.sinks import write_report
 
 Reports = dict[str, DataFrame]
@@ -268,3 +268,17 @@ def quality_reports(train: DataFrame, test: DataFrame, id_col: str, target: str,
         "invalid": quality.invalid_values(train, numeric), "infinite": quality.infinite_report(train),
         "outliers": quality.outlier_report(train, numeric), "consistency": quality.consistency_report(train, test, id_col, target),
     }
+
+
+def leakage_reports(train: DataFrame, test: DataFrame, columns: Sequence[str], text: str, target: str, dt: str, rows: Sequence[str]) -> Reports:
+    """All leakage checks: columns too close to the label, telling names, time, shared categories of ``text``, equal ``rows``, and the risk of each."""
+    corr = correlation.target_correlation(train, columns, target)
+    leaks = correlation.target_leakage(corr)
+    overlap = sets.category_overlap(train, test, text).select(F.lit(text).alias("feature"), "*")
+    duplicates = joins.duplicate_overlap(train, test, rows)
+    return {
+        "inventory": profile.schema_profile(train, [*columns, text]).select("feature", F.when(F.col("is_numeric"), "numeric").otherwise("text").alias("kind"), F.col("cardinality").alias("n_unique")),
+        "leaking": correlation.leaking_columns(train, columns, target), "target": leaks,
+        "time": correlation.time_correlation(train, columns, dt), "overlap": overlap, "duplicates": duplicates,
+        "risk": correlation.leakage_risk(corr, leaks, overlap, duplicates, [text]),
+    }

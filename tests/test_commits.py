@@ -1,10 +1,11 @@
-"""The verdict registry under two writers, and thresholds of streams whose events arrive out of order."""
+"""The verdict registry under two writers, thresholds of streams whose events arrive out of order, runs by value."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.session import work_path
 from riskloom.sources.governance import Conflict, VerdictRegistry
+from riskloom.stages.analysis import report_values
 from riskloom.streaming import replay, scoring
 
 VERDICT = "view string, version string, feature string, null_ratio double, variance double, psi double, status string, tag string"
@@ -44,3 +45,12 @@ def test_thresholds_of_late_and_unordered_events(spark):
         replay.replay(frames, start)
     found = sorted((r["policy"], r["start"] // day, round(r["threshold"], 6)) for r in spark.read.parquet(out).collect())
     assert found == [(1, 0, 0.45), (1, 1, 0.4), (1, 2, 0.35), (1, 3, 0.3), (2, 0, 0.55), (2, 2, 0.6)]
+
+
+def test_values_of_reports(spark):
+    one = spark.createDataFrame([("a", None, 2, True, "x"), (None, 3, None, None, None)], "k string, j int, n long, flag boolean, word string")
+    none = one.limit(0).select("n")
+    found = report_values({"one": one, "none": none}, {"one": ["k", "j"], "none": []}).collect()
+    assert sorted((r["report"], r["item"], r["metric"], r["number"], r["text"]) for r in found) == [
+        ("one", "a", "flag", 1.0, None), ("one", "a", "n", 2.0, None), ("one", "a", "word", None, "x"),
+    ]

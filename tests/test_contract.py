@@ -15,6 +15,7 @@ SAMPLE = [
     "flagship_entity_risk", "safe_arithmetic", "numeric_statistics", "duplicate_audit", "two_way_segment_rates", "label_trends",
     "velocity_features", "target_encoder", "keyed_upsert", "psi_monitoring", "mann_whitney", "redundant_feature_groups",
     "pair_hotspots", "threshold_sweep", "audit_chain", "stream_scoring", "stream_adaptive_threshold", "aggregation_feature_stage",
+    "stream_thresholds_from_events", "governed_verdicts", "leakage_analysis_values", "time_analysis_values",
 ]
 
 
