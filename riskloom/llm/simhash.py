@@ -358,8 +358,27 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bit per residue of the ``hashes``, set where an odd number of them falls; at least two bits a hash, a power of two."""
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount(hashes & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A bound from below on the members that only one of two sets with these ``parity_bits`` has.
+
+    Members of both cancel out, so each bit that differs needs a member of its
+    own. The wider one is folded: halves of it that fall together are added.
+    """
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, least), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
-    """``(node, mark, size, tokens)`` of ``texts(node, text)``: hash and size of the shingle set, and its rarest shingles.
+    """``(node, mark, size, tokens, bits)`` of ``texts(node, text)``: hash, size and ``parity_bits`` of the shingle set, and its rarest shingles.
 
     Sets of the wanted similarity share one of these ``tokens``: in any order
     common to all sets, two sets without a shared one among the first
@@ -382,9 +401,10 @@ def shingle_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
                 marks = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(marks), pa.array([len(s) for s in sets], type=pa.int32()),
-                     pa.array([prefix(s) for s in sets], type=pa.list_(pa.int64()))], names=["node", "mark", "size", "tokens"])
+                     pa.array([prefix(s) for s in sets], type=pa.list_(pa.int64())), pa.array([parity_bits(s) for s in sets], type=pa.binary())],
+                    names=["node", "mark", "size", "tokens", "bits"])
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, mark long, size int, tokens array<long>")
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, mark long, size int, tokens array<long>, bits binary")
 
 
 def shared_tokens(prefixes: DataFrame) -> DataFrame:
@@ -451,9 +471,38 @@ def crossing_pairs(rows: DataFrame, similarity: float, *, star: bool) -> DataFra
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def true_links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The staged ``pairs(a, b)`` whose ``texts(node, text)``, one row a node, have the wanted similarity."""
-    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+
+
+def close_pairs(bitmaps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The staged ``pairs(a, b)`` that ``bitmaps(node, size, bits)`` do not show to be less similar than wanted.
+
+    Sets of the wanted similarity differ in at most a fixed share of their
+    sizes; ``least_apart`` and their sizes bound the difference from below, so
+    none is lost.
+    """
+    share = (1.0 - similarity) / (1.0 + similarity)
+    used = attach(bitmaps.select("node", "size", "bits"), _nodes_of(pairs), ["node"], "left_semi")
+    left, right = (used.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"w_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            apart = np.array([least_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(5))], dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(np.maximum(apart, np.abs(n - m)) <= share * (n + m) + 1e-6))
+
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "w_a", "n_b", "w_b")
+    return staged(met.mapInArrow(run, "a long, b long"), "close")
+
+
+def true_links(texts: DataFrame, bitmaps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The staged ``pairs(a, b)`` whose ``texts(node, text)``, one row a node, have the wanted similarity.
+
+    Only pairs that pass ``close_pairs`` send their sets of shingles.
+    """
+    pairs = close_pairs(bitmaps, pairs, similarity)
+    used = _nodes_of(pairs)
     sets = shingle_sets(attach(texts, used, ["node"], "left_semi").select("node", "text"))
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     met = pairs.join(left, "a").join(right, "b")  # both sides read one shuffle of the sets
@@ -509,13 +558,14 @@ def similar_groups(
     equal = prefixes.join(sets, ["mark", "size"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     both = same.unionAll(near).unionAll(equal)
     pairs = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter("a <> b"), "pairs")
-    found = true_links(texts, pairs, similarity)
+    bitmaps = staged(prefixes.select("node", "size", "bits"), "bitmaps")
+    found = true_links(texts, bitmaps, pairs, similarity)
     groups = staged(connected_components(found), "groups")
     rare = shared_tokens(attach(prefixes, sets.select(F.col("first").alias("node")), ["node"], "left_semi"))
     discard(prefixes)
     for star in (True, False):
         pairs = staged(crossing_pairs(crossing_tokens(rare, groups), similarity, star=star), "pairs")
-        found = found.unionAll(true_links(texts, pairs, similarity))
+        found = found.unionAll(true_links(texts, bitmaps, pairs, similarity))
         groups = staged(connected_components(found), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     keepers = groups.join(rows.select("node", "doc_id"), "node").groupBy("root").agg(F.min_by("node", first).alias("keeper"))

@@ -169,3 +169,31 @@ def test_line_dedup_of_an_empty_table(spark):
 def test_bitmaps_hold_what_was_packed():
     positions = np.array([0, 3, 9, 4000])
     assert set(np.flatnonzero(linededup.unpack(linededup.pack(positions)) == 0)) == set(positions)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = rng.integers(0, 300, 2)
+        k = rng.integers(0, min(n, m) + 1)
+        pool = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
+        a, b = pool[:n], np.concatenate([pool[:k], pool[n : n + m - k]])
+        bound = simhash.least_apart(simhash.parity_bits(a), simhash.parity_bits(b))
+        assert bound <= len(np.setxor1d(a, b)) and (k < n or k < m or bound == 0)
+
+
+def test_close_pairs_keep_all_similar_ones(spark):
+    rng = random.Random(11)
+    texts = []
+    for base in range(12):
+        own = words(base, rng.choice([3, 40, 200, 900]))
+        for share in (0.0, 0.01, 0.02, 0.1):
+            texts.append(" ".join(f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    bits = simhash.shingle_prefixes(frame, 0.8)
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    kept = {tuple(r) for r in simhash.close_pairs(bits, pairs, 0.8).collect()}
+    sets = [set(simhash.shingle_hashes(t.encode()).tolist()) for t in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike <= kept and len(kept) < 2 * len(alike)
+    assert simhash.close_pairs(bits, pairs.limit(0), 0.8).count() == 0
