@@ -15,7 +15,7 @@ from riskloom.functions.bands import classify
 from riskloom.functions.scalars import numeric_columns
 from riskloom.operators.aggregates import long_values, wide_aggregate
 from riskloom.operators.joins import lookup_join
-from riskloom.operators.ordered import prefix_sums, with_ordinal
+from riskloom.operators.ordered import prefix_sums
 from riskloom.operators.quality import missing_report
 from riskloom.operators.rows import with_row
 from riskloom.operators.stats import rank_tests, value_ranks
@@ -116,53 +116,58 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], *, rows_per_block: int
 
 
 def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, rows_per_block: int | None = None) -> DataFrame:
-    """Kendall tau-b of column pairs on the full data, without forming pairs of rows.
+    """Kendall tau-b of column pairs on the full data, all in one job and without forming pairs of rows.
 
-    Counts of distinct (x, y) are split by the bits of the dense rank of x: two
+    Counts of distinct (pair, x, y) are split by the bits of the rank of x: two
     values of x differ first at exactly one bit, and at that bit one falls into
-    the lower and one into the upper half of the same prefix.  Per (bit, prefix)
-    a running sum along y counts the concordant and discordant pairs, so the
-    cost is rows x log(distinct x) and every running sum is cut into blocks.
+    the lower and one into the upper half of the same prefix.  Per (pair, bit,
+    prefix) a running sum along y counts the concordant and discordant pairs, so
+    the cost is rows x log(distinct x) and every running sum is cut into blocks.
+    A pair counts the rows where both are known and not NaN; without any, and
+    where either column does not vary, tau is 0.
     """
-    parts = [_kendall(df, a, b, rows_per_block) for a, b in pairs]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _kendall(df: DataFrame, x: str, y: str, rows_per_block: int | None) -> DataFrame:
-    cells = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    codes = with_ordinal(cells.select("x").distinct(), ["x"], "code", rows_per_block=rows_per_block)
-    levels = max(1, math.ceil(math.log2(max(2, codes.count()))))
-    coded = lookup_join(cells, codes, ["x"])
-    bits = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("bit"),
-                F.shiftright("code", b + 1).alias("prefix"),
-                F.pmod(F.shiftright("code", b), F.lit(2)).alias("upper"),
-            )
-            for b in range(levels)
-        ]
-    )
-    split = coded.select("y", "n", F.explode(bits).alias("b")).select("y", "n", "b.*")
-    sides = split.groupBy("bit", "prefix", "y").agg(
+    pairs = list(pairs)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, tau double")
+    at = {c: i for i, c in enumerate(dict.fromkeys(c for pair in pairs for c in pair))}
+    known = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in at])
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.lit(at[a]).alias("feature"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)
+    ])
+    cells = known.select(F.explode(entries).alias("e")).select("e.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = cut_lineage(cells.groupBy("pair", "feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    sums = _concordance(cells, rows_per_block)
+    tied = lambda key: cells.groupBy("pair", key).agg(F.sum("n").cast("double").alias("k")).groupBy("pair").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{key}"))
+    total = cells.groupBy("pair").agg(F.sum("n").cast("double").alias("m")).select("pair", (F.col("m") * (F.col("m") - 1) / 2).alias("all"))
+    names = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("left"), F.lit(b).alias("right")) for i, (a, b) in enumerate(pairs)])
+    out = df.sparkSession.range(1).select(F.explode(names).alias("e")).select("e.*")
+    for part in (sums, tied("x"), tied("y"), total):  # a row for each pair
+        out = out.join(part, "pair", "left")
+    tau = F.try_divide(F.col("c") - F.col("dc"), F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty"))))
+    return out.select("left", "right", F.coalesce(tau, F.lit(0.0)).alias("tau"))
+
+
+def _concordance(cells: DataFrame, rows_per_block: int | None) -> DataFrame:
+    """``(pair, c, dc)``: concordant and discordant pairs of rows of ``cells(pair, feature, x, y, n)``."""
+    values = cells.select("feature", "x").distinct()
+    codes = prefix_sums(values, ["feature"], ["x"], {"code": F.lit(1)}, inclusive=False, rows_per_block=rows_per_block)
+    codes = cut_lineage(codes.withColumn("code", F.col("code").cast("long")))
+    tops = codes.groupBy("feature").agg(F.max("code").alias("top"))  # a row for each column
+    levels = tops.select("feature", F.greatest(F.lit(1), F.length(F.bin("top"))).alias("levels"))
+    coded = lookup_join(cells, codes, ["feature", "x"]).join(F.broadcast(levels), "feature")
+    bits = F.expr("transform(sequence(0, levels - 1), b -> struct(b AS bit, shiftright(code, b + 1) AS prefix, pmod(shiftright(code, b), 2) AS upper))")
+    split = coded.select("pair", "y", "n", F.explode(bits).alias("b")).select("pair", "y", "n", "b.*")
+    sides = split.groupBy("pair", "bit", "prefix", "y").agg(
         F.sum(F.when(F.col("upper") == 0, F.col("n")).otherwise(0)).alias("lo"),
         F.sum(F.when(F.col("upper") == 1, F.col("n")).otherwise(0)).alias("hi"),
     )
     running = prefix_sums(
-        sides, ["bit", "prefix"], ["y"], {"lo_before": F.col("lo"), "hi_before": F.col("hi")},
+        sides, ["pair", "bit", "prefix"], ["y"], {"lo_before": F.col("lo"), "hi_before": F.col("hi")},
         inclusive=False, rows_per_block=rows_per_block,
     )
     d = lambda c: F.col(c).cast("double")
     # A pair with the lower half at smaller y is concordant, at larger y discordant.
-    pair_sums = running.agg(F.sum(d("hi") * d("lo_before")).alias("c"), F.sum(d("lo") * d("hi_before")).alias("dc"))
-    tied = lambda key: cells.groupBy(key).agg(F.sum("n").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{key}"))
-    total = cells.agg(F.sum("n").cast("double").alias("m")).select((F.col("m") * (F.col("m") - 1) / 2).alias("all"))
-    one = pair_sums.transform(with_row, tied("x")).transform(with_row, tied("y")).transform(with_row, total)
-    tau = F.try_divide(F.col("c") - F.col("dc"), F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty"))))
-    return one.select(F.lit(x).alias("left"), F.lit(y).alias("right"), F.coalesce(tau, F.lit(0.0)).alias("tau"))
+    return running.groupBy("pair").agg(F.sum(d("hi") * d("lo_before")).alias("c"), F.sum(d("lo") * d("hi_before")).alias("dc"))
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str, *, rows_per_block: int | None = None) -> DataFrame:

@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.rows import with_row
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: What one value takes in a broadcast row, besides the characters of a text.
+VALUE_BYTES = 16
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
 SALTS = 64
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row of ``df``; nested values count as their JSON text."""
+    size = F.lit(VALUE_BYTES * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        elif kind == "binary" or kind.startswith("string"):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+    return size
+
+
 def lookup_join(
     left: DataFrame,
     mapping: DataFrame,
@@ -23,21 +38,27 @@ def lookup_join(
     *,
     rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
-    The mapping is broadcast only after its row count was checked; ``rows`` is
-    the count (or an upper bound) where the caller knows it.  A larger mapping
-    is joined by shuffle.  Keys with more than ``hot_rows`` rows on the left are
-    salted: their rows are spread over ``salts`` tasks and only their mapping
-    rows are repeated.
+    The mapping is broadcast only after its rows and bytes were measured;
+    ``rows`` is the count (or an upper bound) where the caller knows it, which
+    settles a mapping without texts and arrays.  A larger mapping is joined by
+    shuffle.  Keys with more than ``hot_rows`` rows on the left are salted:
+    their rows are spread over ``salts`` tasks and only their mapping rows are
+    repeated.
     """
     on = list(on)
-    if rows is None or rows > broadcast_rows:
-        rows = mapping.limit(broadcast_rows + 1).count()
-    if rows <= broadcast_rows:
+    fixed = not any(kind == "binary" or kind.startswith(("string", "array", "map", "struct")) for _, kind in mapping.dtypes)
+    if rows is not None and rows <= broadcast_rows and fixed:
+        size = rows * VALUE_BYTES * len(mapping.columns)
+    else:
+        one = mapping.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(mapping)).alias("bytes")).first()
+        rows, size = one["rows"], one["bytes"] or 0
+    if rows <= broadcast_rows and size <= broadcast_bytes:
         return left.join(F.broadcast(mapping), on, "left")
     n = left.count()
     if n <= hot_rows:

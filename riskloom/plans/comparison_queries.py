@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import correlation, drift, interact, joins, profile, sets, sketches, stats
@@ -455,6 +457,21 @@ def kendall_tau(spark, d):
     return _round(correlation.kendall_pairs(line(spark, d), _TAU_PAIRS))
 
 
+_TAU_COLS = ["qty", "thousands", "disc", "tax", "linenumber"]
+_TAU_WIDE = f"(SELECT *, floor(price / 1000) AS thousands FROM {LINE_SQL})"
+
+
+@query(
+    "kendall_matrix",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH c AS (SELECT {a} AS x, {b} AS y, count(*) AS n FROM {_TAU_WIDE} GROUP BY 1, 2) {_tau_sql(a, b)})" for a, b in combinations(_TAU_COLS, 2)
+    ),
+)
+def kendall_matrix(spark, d):
+    wide = line(spark, d).withColumn("thousands", F.floor(F.col("price") / 1000))
+    return _round(correlation.kendall_pairs(wide, list(combinations(_TAU_COLS, 2))))
+
+
 _TCORR = f"""(WITH m AS (SELECT feature, corr(value, y) AS pearson, avg(value) FILTER (WHERE y = 0) AS m0, avg(value) FILTER (WHERE y = 1) AS m1,
     stddev_pop(value) FILTER (WHERE y = 0) AS s0, stddev_pop(value) FILTER (WHERE y = 1) AS s1 FROM {long_sql(LINE_SQL, _NUM, 'DOUBLE', 'y')} GROUP BY 1)
     SELECT feature, pearson, spearman, abs(m0 - m1) / (s0 + s1) AS separation FROM m JOIN {_RANKS} USING (feature))"""

@@ -1,5 +1,7 @@
 """The block-wise forms must equal the plain windows they replace, also under skew."""
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -114,6 +116,27 @@ def test_kendall(skewed, block):
     assert got == pytest.approx(want)
 
 
+def test_kendall_of_several_pairs_in_one_job(spark):
+    data = [(float(i * 37 % 101), float(i * i % 53), None if i % 7 == 0 else float(i % 5), float("nan") if i % 9 == 0 else 1.0, None) for i in range(100)]
+    frame = spark.createDataFrame(data, "a double, b double, c double, k double, e double")
+    got = {(r["left"], r["right"]): r["tau"] for r in correlation.kendall_pairs(frame, list(combinations("abcke", 2)), rows_per_block=20).collect()}
+    assert len(got) == 10
+    for (i, x), (j, y) in combinations(enumerate("abc"), 2):
+        known = [(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None]
+        assert got[x, y] == pytest.approx(brute_tau(known))
+    assert all(tau == 0 for pair, tau in got.items() if set(pair) & set("ke"))
+    assert correlation.kendall_pairs(frame, []).count() == 0
+    assert [r["tau"] for r in correlation.kendall_pairs(frame.limit(0), [("a", "b")]).collect()] == [0.0]
+
+
+def test_lookup_join_measures_bytes(skewed):
+    mapping = skewed.groupBy("key").agg(F.repeat(F.lit("x"), 1000).alias("note"), F.collect_set("y").alias("seen"))
+    base = skewed.select("id", "key")
+    few, many = (joins.lookup_join(base, mapping, ["key"], broadcast_bytes=b) for b in (2000, 1 << 30))
+    hinted = [out._jdf.queryExecution().analyzed().toString().count("ResolvedHint") for out in (few, many)]
+    assert hinted == [0, 1] and rows(few.select("id", "note"), "id") == rows(many.select("id", "note"), "id")
+
+
 def test_lookup_join_forms_agree(skewed):
     mapping = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     base = skewed.select("id", "key")
