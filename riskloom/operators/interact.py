@@ -1,15 +1,17 @@
 """Pairs and triples of columns: separation, hotspots, odds, strength, stability.
 
-All pairs share one scan: the columns are binned once, and each row is expanded
-to its (pair, cell) keys before one grouped count.  The number of cells is at
+All pairs share one scan: the columns are binned once, and cells are counted by
+integer codes in matrix products per slice of rows.  The number of cells is at
 most bins x bins per pair, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from riskloom.operators.rows import largest, with_row
 from riskloom.operators.stats import _plug_in_mi, bin_columns
 
 PAIR = ["left", "right"]
+#: Rows that meet in one matrix product.
+SLICE_ROWS = 8192
 
 
 def pairs_of(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -44,14 +48,65 @@ def _names(columns: Sequence[str]) -> dict[str, str]:
     return {c: f"__b_{c}" for c in columns}
 
 
-def pair_cells(df: DataFrame, columns: Sequence[str], target: str, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """``(left, right, cell, n, positives)`` of every pair in one grouped count."""
-    pairs = pairs_of(columns) if pairs is None else list(pairs)
+def _cube(df: DataFrame, columns: Sequence[str], target: str, degree: int) -> tuple[DataFrame, Callable[[str], Column], Callable[[str], Column]]:
+    """Counts of all cells of two or three columns, and functions that name a code's column and its bin.
+
+    The frame has ``f`` (-1 for pairs), ``a``, ``b``, ``n`` and ``positives``. A
+    bin of a column has one code over all columns; rows become rows of zeros
+    and ones, and a matrix product per slice of them counts all cells at once.
+    A task sends one row per cell, whatever its number of rows; it holds
+    (columns x bins) to the power ``degree`` numbers. Names are attached last.
+    """
     binned = _binned(df, columns, [F.col(target).alias("y")])
-    return (
-        binned.select("y", F.explode(_pair_rows(_names(columns), pairs)).alias("p")).select("y", "p.*")
-        .groupBy(*PAIR, "cell").agg(F.count("y").alias("n"), F.sum("y").alias("positives"))
-    )
+    seen = binned.agg(*[F.array_sort(F.collect_set(f"__b_{c}")).alias(c) for c in columns]).first()
+    bins = [list(seen[c]) or [""] for c in columns]  # a few bins a column
+    base = max(len(b) for b in bins)
+    width = len(columns) * base
+    codes = [F.array_position(F.array(*map(F.lit, b)), F.col(f"__b_{c}")).cast("int") - 1 + i * base for i, (c, b) in enumerate(zip(columns, bins))]
+    blocks = [(-1, 0)] if degree == 2 else [(f, (f // base + 1) * base) for f in range(width - base)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            weights = np.stack([np.ones(len(y)), ~np.isnan(y), np.nan_to_num(y)])
+            for start in range(0, len(y), SLICE_ROWS):
+                piece = at[start : start + SLICE_ROWS]
+                hot = np.zeros((len(piece), width))
+                np.put_along_axis(hot, piece, 1.0, axis=1)
+                for first, low in blocks:
+                    rows = np.arange(len(piece)) if first < 0 else np.flatnonzero(hot[:, first])
+                    if len(rows):
+                        part = hot[rows, low:]
+                        more = np.stack([part.T @ (part * w[start + rows, None]) for w in weights])
+                        sums[first] = sums[first] + more if first in sums else more
+        for first, low in blocks:
+            if first in sums:
+                a, b = np.nonzero(sums[first][0])
+                pair = (a + low) // base < (b + low) // base
+                a, b = a[pair], b[pair]
+                _, n, positives = sums[first][:, a, b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(a), first, dtype=np.int32)), pa.array((a + low).astype(np.int32)), pa.array((b + low).astype(np.int32)),
+                     pa.array(n.astype(np.int64)), pa.array(positives)], names=["f", "a", "b", "n", "positives"])
+
+    parts = binned.select(F.col("y").cast("double").alias("y"), F.array(*codes).alias("codes")).mapInArrow(
+        run, "f int, a int, b int, n long, positives double")
+    kind = "double" if dict(df.dtypes)[target] in ("float", "double") else "long"
+    total = F.when(F.sum("n") > 0, F.sum("positives")).cast(kind)
+    cells = parts.groupBy("f", "a", "b").agg(F.sum("n").alias("n"), total.alias("positives"))
+    names = F.array(*map(F.lit, columns))
+    labels = F.array(*[F.lit(x) for b in bins for x in b + [""] * (base - len(b))])
+    return cells, lambda c: F.get(names, F.floor(F.col(c) / base).cast("int")), lambda c: F.get(labels, F.col(c))
+
+
+def pair_cells(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """``(left, right, cell, n, positives)`` of every pair; rows without a label count in neither, NaN labels as none."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "left string, right string, cell string, n long, positives long")
+    cells, name, label = _cube(df, columns, target, 2)
+    return cells.select(name("a").alias("left"), name("b").alias("right"), F.concat(label("a"), F.lit("_"), label("b")).alias("cell"), "n", "positives")
 
 
 def class_separation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -96,22 +151,13 @@ def pair_hotspots(df: DataFrame, columns: Sequence[str], target: str, support: i
 
 
 def triple_hotspots(df: DataFrame, columns: Sequence[str], target: str, support: int = 10) -> DataFrame:
-    binned = _binned(df, columns, [F.col(target).alias("y")])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(c).alias("third"),
-                F.concat_ws("_", *[F.col(f"__b_{x}") for x in (a, b, c)]).alias("cell"),
-            )
-            for a, b, c in combinations(columns, 3)
-        ]
-    )
+    """Cell with the highest rate of every triple of columns, and its lift."""
+    cells, name, label = _cube(df, columns, target, 3)
     keys = ["first", "second", "third"]
-    cells = (
-        binned.select("y", F.explode(rows).alias("p")).select("y", "p.*")
-        .groupBy(*keys, "cell").agg(F.count("y").alias("n"), F.sum("y").alias("positives"))
+    named = cells.select(
+        *[name(c).alias(k) for c, k in zip("fab", keys)], F.concat_ws("_", *map(label, "fab")).alias("cell"), "n", "positives",
     )
-    return _hot(cells, keys, df, target, support)
+    return _hot(named, keys, df, target, support)
 
 
 def cell_odds(df: DataFrame, columns: Sequence[str], target: str, support: int = 10, top: int | None = None) -> DataFrame:

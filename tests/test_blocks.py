@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.operators import correlation, drift, encode, evaluate, joins, profile, quantiles, sets, stats, temporal
+from riskloom.operators import correlation, drift, encode, evaluate, interact, joins, profile, quantiles, sets, stats, temporal
 from riskloom.operators.ordered import prefix_sums, trailing, with_ordinal
 
 
@@ -261,3 +261,23 @@ def test_category_frequencies_rank_ties_by_name(spark):
         got = rows(profile.category_frequencies(df, ["x"], rows_per_block=block), "rank")
         assert got == [("x", "a", 2, 50.0, 50.0, 1), ("x", "b", 1, 25.0, 75.0, 2), ("x", "c", 1, 25.0, 100.0, 3)]
     assert rows(profile.categorical_inventory(df, ["x"]), "feature") == [("x", 3, 1, 20.0, "a", 50.0)]
+
+
+def test_cells_of_pairs_and_triples_equal_plain_counts(spark):
+    data = [(i % 3, "ab"[i % 2], None if i % 5 == 0 else i % 4, i * 7 % 90, None if i % 11 == 0 else int(i % 6 == 0)) for i in range(600)]
+    frame = spark.createDataFrame(data, "p int, q string, r int, s int, y int").drop("q")
+    columns = ["p", "r", "s"]
+    binned = stats.bin_columns(frame, columns)
+    for a, b in interact.pairs_of(columns):
+        cell = F.concat(f"__b_{a}", F.lit("_"), f"__b_{b}").alias("cell")
+        want = binned.groupBy(cell).agg(F.count("y").alias("n"), F.sum("y").alias("positives"))
+        got = interact.pair_cells(frame, columns, "y").filter(f"left = '{a}' AND right = '{b}'").select("cell", "n", "positives")
+        assert rows(got, "cell") == rows(want, "cell")
+    rate = F.sum("y") / F.count("y")
+    cell = F.concat_ws("_", *[f"__b_{c}" for c in columns]).alias("cell")
+    best = binned.groupBy(cell).agg(F.count("y").alias("n"), rate.alias("rate")).filter("n >= 10").orderBy(F.desc("rate"), "cell").first()
+    hot = interact.triple_hotspots(frame, columns, "y").collect()
+    assert [(r["first"], r["second"], r["third"]) for r in hot] == [("p", "r", "s")]
+    assert (hot[0]["cell"], hot[0]["n"], hot[0]["rate"]) == (best["cell"], best["n"], pytest.approx(best["rate"]))
+    assert interact.pair_cells(frame.limit(0), columns, "y").count() == 0
+    assert interact.pair_cells(frame, ["p"], "y").count() == 0
